@@ -23,13 +23,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from citelake.llm.common import read_table
+from citelake.llm.common import map_texts, read_table
 
 WINDOW_STEPS = (1, 2, 4, 8)  # a rolling hash over 16 bytes
 CHUNK_BITS = 9  # chunks of 512 bytes on average
@@ -176,17 +175,11 @@ def bpe(
     """id_column and what emit makes of each text; no shuffle. vocabulary (fixed size) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list], dict[str, list]]:
         encoder = Encoder(shared.value)
-        for batch in batches:
-            texts = batch["t"].tolist()
-            for at in range(0, len(texts), 500):  # few long results in memory at a time
-                made = emit(encoder, [t if isinstance(t, str) else None for t in texts[at : at + 500]])
-                yield pd.DataFrame({"i": batch["i"].iloc[at : at + 500].to_numpy(), **made})
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
-    return source.mapInPandas(run, f"i {kind}, {schema}").withColumnRenamed("i", id_column)
+        return lambda texts: emit(encoder, texts)
+
+    return map_texts(docs, id_column, text_column, schema, make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +57,29 @@ def task_count(df: DataFrame, per_partition: int = 1) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_partition
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """Apply make()'s function to each Arrow batch; make() runs once in each Python task."""
+def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: str, make: Callable[[], Callable[[list], dict[str, list]]], rows: int = 500) -> DataFrame:
+    """id_column and the columns that make()'s function gives for each list of texts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    make() runs once in each Python task; its function sees at most `rows` texts (str or None) at a
+    time and returns a list for each column of schema. The id column passes through as it is.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    key = docs.schema[id_column]
+    whole = StructType([StructField("i", key.dataType), *StructType.fromDDL(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            yield function(batch)
-
-    return df.mapInPandas(run, schema)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = function(part.column(1).to_pylist())
+                arrays = [pa.array(out[f.name], type=f.type) for f in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["i", *made.names])
+
+    source = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
+    return source.mapInArrow(run, whole).withColumnRenamed("i", id_column)
 
 
 # -- connected components ------------------------------------------------------------------

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from citelake.llm import bpe
+from citelake.llm import bpe, pii, secrets
 
 QUERIES = {
+    "op3_secrets": secrets.query,
+    "op4_pii": pii.query,
     "op10_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
