@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from citelake.llm import bpe, pii, secrets
+from citelake.llm import bpe, fingerprints, mixing, pii, quality, secrets
 
 QUERIES = {
     "op3_secrets": secrets.query,
     "op4_pii": pii.query,
+    "op7_mixing": mixing.query,
+    "op8_quality": quality.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
