@@ -234,7 +234,7 @@ def _shared(blocks: list[bytes]) -> pa.RecordBatch:
     new = np.append(True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])) if len(s) else np.zeros(0, dtype=bool)
     s, g = s[new], g[new]
     starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, dtype=np.int64)
-    ends = np.append(starts[1:], len(s)).astype(np.int64)
+    ends = np.append(starts[1:], len(s)).astype(np.int64)[: len(starts)]
     found: dict[bytes, np.ndarray] = {}
     two = starts[ends - starts == 2]
     for a, b in np.unique(np.stack([g[two], g[two + 1]], 1), axis=0) if len(two) else ():
