@@ -1,5 +1,258 @@
-"""Named queries over the driver tables, each with its DuckDB counterpart where SQL has one."""
+"""Named queries over the driver tables, each with its DuckDB counterpart where SQL has one.
+
+Record sets come from orders and their customers, topic counts from line items and their parts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from citelake.functions import text
+from citelake.functions.stats import share
+from citelake.operators import analyse, export, sets
+from citelake.operators.normalise import entries_to_records
+from citelake.query import query
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 FLAGSHIP = "topic_share"
+YEARS = range(1995, 2002)
+REFERENCE, TERMS = query("widget"), [query("red"), query("blue")]
+CONCEPTS = {"red": query("red"), "blue": query("blue"), "widget": query("widget")}
+INTERSECTIONS = [("red", "widget"), ("blue", "widget")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    key = F.col("o_orderkey")
+    prefix = F.when(key % 3 == 0, "https://doi.org/").when(key % 3 == 1, "DOI: ").otherwise("")
+    made = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        key.cast("int").alias("entry_number"),
+        F.when(key % 7 != 0, key.cast("string")).alias("record_id"),
+        F.when(key % 11 != 0, F.concat(prefix, F.lit("10.1/"), (key % 5000).cast("string"))).alias("doi"),
+        F.col("c_name").alias("title"),
+        F.concat("c_name", F.lit("; "), "c_mktsegment").alias("authors"),
+        F.year("o_orderdate").alias("year"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.col("o_orderpriority").alias("publication"),
+        F.floor(F.col("o_totalprice") / 1000).cast("int").alias("citations"),
+        F.lit("TITLE(orders)").alias("query"),
+    )
+    return sets.renumber(made)
+
+
+RECORDS_SQL = """
+    SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS entry_number,
+           CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS record_id,
+           CASE WHEN o_orderkey % 11 <> 0 THEN concat(CASE o_orderkey % 3 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'DOI: ' ELSE '' END,
+                                                      '10.1/', CAST(o_orderkey % 5000 AS VARCHAR)) END AS doi,
+           c_name AS title, concat(c_name, '; ', c_mktsegment) AS authors,
+           CAST(year(o_orderdate) AS INTEGER) AS year, strftime(o_orderdate, '%Y-%m-%d') AS date,
+           o_orderpriority AS publication, CAST(floor(o_totalprice / 1000) AS INTEGER) AS citations, 'TITLE(orders)' AS query
+    FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+WITH = f"WITH records AS ({RECORDS_SQL})"
+CLEAN_SQL = r"nullif(trim(regexp_replace(regexp_replace(trim(doi), '^\s*(https?://)?(www\.)?(dx\.)?doi\.org/', '', 'i'), '^\s*doi:\s*', '', 'i')), '')"
+
+
+def literature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, title) of line items: the year shipped and the part's name."""
+    items, part = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
+    counted = items.select("l_partkey", F.year("l_shipdate").alias("year"))
+    return counted.join(part.select("p_partkey", F.col("p_name").alias("title")), F.col("l_partkey") == F.col("p_partkey")).select("year", "title")
+
+
+def _fields() -> dict:
+    return {None: F.col("title")}
+
+
+LITERATURE = "lit AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey)"
+COUNTED = f"""
+    WITH {LITERATURE}, years AS (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2002)),
+    topics AS (SELECT * FROM (VALUES (0, 'reference', 'widget', 'widget', ''), (1, 'comparison', 'widget AND red', 'red', 'red'),
+                                     (2, 'comparison', 'widget AND blue', 'blue', 'blue')) t(topic, query_type, query, abridged_query, word)),
+    counts AS (SELECT topic, query, query_type, abridged_query, years.year, CAST(count(lit.title) AS DOUBLE) AS n
+               FROM topics CROSS JOIN years LEFT JOIN lit ON lit.year = years.year AND contains(lit.title, 'widget') AND contains(lit.title, word)
+               GROUP BY ALL),
+    refs AS (SELECT counts.*, r.n AS reference_n FROM counts JOIN (SELECT year, n FROM counts WHERE topic = 0) r USING (year)),
+    comparison AS (
+        SELECT query, query_type, abridged_query, year, n, reference_n,
+               CASE WHEN reference_n <> 0 THEN 100.0::DOUBLE * n / reference_n END AS comparison_percentage,
+               100.0::DOUBLE * sum(n) OVER (PARTITION BY topic) / nullif(sum(reference_n) OVER (PARTITION BY topic), 0) AS average_comparison_percentage
+        FROM refs)
+"""
+
+
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyse.compare_topics(literature(spark, sf_dir), REFERENCE, TERMS, YEARS, _fields())
+
+
+def topic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyse.ordered_comparison(comparison(spark, sf_dir))
+
+
+def slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping pulls of the same search: the early years, and the later entries."""
+    every = records(spark, sf_dir)
+    return sets.renumber(every.where("year <= 1998")), sets.renumber(every.where("entry_number > 9000"))
+
+
+SLICES = """
+    , old AS (SELECT * FROM records WHERE year <= 1998), new AS (SELECT * FROM records WHERE entry_number > 9000),
+    both_ AS (SELECT 0 AS s, * FROM old UNION ALL SELECT 1, * FROM new),
+    bound AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY s, entry_number) AS INTEGER) AS entry_number) FROM both_),
+    keyed AS (SELECT *, coalesce('id:' || record_id, 'doi:' || lower(doi), 'row:' || entry_number) AS k FROM bound),
+    kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY entry_number) = 1)
+"""
+RECORD_COLUMNS = "entry_number, record_id, doi, title, authors, year, date, publication, citations, query"
+
+
+def events_as_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search entries as JSON text: an event's properties inside the service's field names."""
+    events = _table(spark, sf_dir, "events")
+    entry = F.concat(
+        F.lit('{"dc:identifier":"SCOPUS_ID:'), F.col("event_id").cast("string"), F.lit('","dc:title":"'), "event_type",
+        F.lit('","prism:coverDate":"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('","citedby-count":"'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")),
+        F.lit('","dc:creator":["A","B"]}'),
+    )
+    return events.select(F.col("event_id").alias("position"), entry.alias("entry"))
+
+
+def json_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = entries_to_records(events_as_entries(spark, sf_dir), "TITLE(events)")
+    return made.select("record_id", "doi", "title", "authors", "year", "date", "citations", "query")
+
+
+def cell_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each yearly cell against a declared total, and whether the cell is complete."""
+    counted = records(spark, sf_dir).groupBy("year").agg(F.count("*").cast("int").alias("n_records"), F.max("entry_number").alias("m"))
+    declared = F.when(F.col("year") != 1997, (F.col("n_records") + F.when(F.col("year") % 2 == 0, 5).otherwise(0)).cast("double"))
+    return counted.select("year", "n_records", declared.alias("reported_total"), (F.col("n_records") >= declared).alias("complete"))
+
+
+CELLS_SQL = f"""{WITH}, cells AS (SELECT year, CAST(count(*) AS INTEGER) AS n_records FROM records GROUP BY year),
+    declared AS (SELECT *, CASE WHEN year <> 1997 THEN CAST(n_records + CASE WHEN year % 2 = 0 THEN 5 ELSE 0 END AS DOUBLE) END AS reported_total FROM cells)
+"""
+
+
+def reported_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cell_totals(spark, sf_dir)
+    return cells.agg(
+        analyse.all_or_nothing_sum("reported_total").alias("total"),
+        F.count("reported_total").alias("cells_reported"),
+        F.count_if("complete").alias("cells_complete"),
+    )
+
+
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyse.keyword_counts(_table(spark, sf_dir, "documents"), "text", " ")
+
+
+def bind_union_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets with different columns bound; counts of what each column holds."""
+    old, new = slices(spark, sf_dir)
+    bound = sets.bind([old.drop("citations"), new.withColumn("authkeywords", F.lit("a | b"))])
+    return bound.agg(*(F.count(c).alias(c) for c in ("entry_number", "doi", "citations", "authkeywords")), F.max("entry_number").alias("last"))
+
+
+def topic_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = literature(spark, sf_dir).where(REFERENCE.to_column(_fields()))
+    return analyse.trend(matches, [*YEARS, 2005], "widget")
+
+
+def year_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyse.year_counts(records(spark, sf_dir).where("year <> 1997"))
+
+
+def ordered_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.distinct_dois(records(spark, sf_dir))
+
+
+QUERIES = {
+    "top_sources": lambda s, d: analyse.top(records(s, d), "source", 10),
+    "top_authors": lambda s, d: analyse.top(records(s, d), "author", 10),
+    "year_counts": year_gaps,
+    "records_summary": lambda s, d: analyse.summary(records(s, d)),
+    "clean_dois": lambda s, d: records(s, d).select("entry_number", text.clean_doi(F.col("doi")).alias("doi")),
+    "distinct_dois": ordered_dois,
+    "combine_records": lambda s, d: sets.combine(slices(s, d)),
+    "combine_dedupe": lambda s, d: sets.combine(slices(s, d), remove_duplicates=True),
+    "doi_diff": lambda s, d: sets.doi_diff(*slices(s, d)),
+    "doi_diff_counts": lambda s, d: sets.diff_counts(sets.doi_diff(*slices(s, d))),
+    "trend": topic_years,
+    "topic_share": topic_share,
+    "wilson_band": lambda s, d: analyse.with_band(comparison(s, d)),
+    "concept_sizes": lambda s, d: analyse.concept_sizes(literature(s, d), CONCEPTS, INTERSECTIONS, _fields()),
+    "boolean_query": lambda s, d: literature(s, d).where(query("widget", "red", operator="AND NOT").to_column(_fields())).groupBy("title").agg(F.count("*").alias("n")),
+    "capped_per_year": lambda s, d: sets.capped_per_year(records(s, d), 5),
+    "bibtex_keys": lambda s, d: export.citation_keys(records(s, d)).select("entry_number", "key"),
+    "bibtex_escape": lambda s, d: _table(s, d, "documents").select("doc_id", text.bibtex_escaped(text.folded(F.col("text"))).alias("escaped")),
+    "bibtex_entries": lambda s, d: export.as_bibtex(records(s, d)),
+    "ris_entries": lambda s, d: export.as_ris(records(s, d)),
+    "tagged_frame": lambda s, d: export.as_tagged(records(s, d)),
+    "json_normalise": json_normalise,
+    "keyword_counts": doc_words,
+    "cell_totals": cell_totals,
+    "reported_total": reported_total,
+    "bind_union_columns": bind_union_columns,
+    "yearly_share": lambda s, d: records(s, d).groupBy("year").agg(share(F.count_if(F.col("citations") > 100), F.count("*")).alias("cited_share")),
+}
+
+ESCAPE_SQL = "t"
+for _plain, _made in (("\\", "\x01"), ("{", r"\{"), ("}", r"\}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"), ("\x01", r"\textbackslash{}")):
+    ESCAPE_SQL = f"replace({ESCAPE_SQL}, {'chr(1)' if _plain == chr(1) else repr(_plain) if _plain != chr(92) else 'chr(92)'}, {'chr(1)' if _made == chr(1) else chr(39) + _made + chr(39)})"
+KEYS_SQL = """
+    , based AS (SELECT *, lower(regexp_replace(string_split_regex(string_split(authors, '; ')[1], '[ ,]')[1], '[^A-Za-z0-9]', '', 'g')) || CAST(year AS VARCHAR) AS base FROM records),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY entry_number) - 1 AS r FROM based),
+    keys AS (SELECT *, CASE WHEN r = 0 THEN base WHEN r <= 26 THEN base || chr(CAST(96 + r AS INTEGER)) ELSE base || CAST(r AS VARCHAR) END AS key FROM ranked)
+"""
+_E = {c: c for c in ("title", "publication", "doi", "record_id")}
+_ESC = lambda c: ESCAPE_SQL.replace("replace(t,", f"replace({c},", 1)
+
+ORACLES = {
+    "top_sources": f"{WITH} SELECT trim(publication) AS value, CAST(count(*) AS INTEGER) AS n FROM records WHERE trim(publication) <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
+    "top_authors": f"{WITH}, a AS (SELECT trim(unnest(string_split(authors, '; '))) AS value FROM records) SELECT value, CAST(count(*) AS INTEGER) AS n FROM a WHERE value <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
+    "year_counts": f"{WITH}, r AS (SELECT * FROM records WHERE year <> 1997), y AS (SELECT unnest(generate_series((SELECT min(year) FROM r), (SELECT max(year) FROM r))) AS year) SELECT CAST(y.year AS INTEGER) AS year, CAST(count(r.year) AS INTEGER) AS n FROM y LEFT JOIN r USING (year) GROUP BY 1",
+    "records_summary": f"""{WITH}, s AS (SELECT publication, count(*) AS n FROM records GROUP BY 1)
+        SELECT count(*) AS n_records, min(year) AS year_min, max(year) AS year_max, count(doi) AS n_with_doi, CAST(sum(citations) AS BIGINT) AS citations_total,
+               (SELECT title FROM records WHERE citations IS NOT NULL ORDER BY citations DESC, entry_number LIMIT 1) AS top_cited, median(citations) AS citations_median,
+               (SELECT count(*) FROM s) AS n_sources, (SELECT max(n) FROM s) AS top_source_n, (SELECT publication FROM s ORDER BY n DESC, publication LIMIT 1) AS top_source
+        FROM records""",
+    "clean_dois": f"{WITH} SELECT entry_number, {CLEAN_SQL} AS doi FROM records",
+    "distinct_dois": f"{WITH}, c AS (SELECT entry_number, {CLEAN_SQL} AS doi FROM records) SELECT * FROM c WHERE doi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(doi) ORDER BY entry_number) = 1",
+    "combine_records": f"{WITH} {SLICES} SELECT {RECORD_COLUMNS} FROM bound",
+    "combine_dedupe": f"{WITH} {SLICES} SELECT {RECORD_COLUMNS.replace('entry_number', 'CAST(row_number() OVER (ORDER BY entry_number) AS INTEGER) AS entry_number', 1)} FROM kept",
+    "doi_diff": f"""{WITH} {SLICES}, o AS (SELECT {CLEAN_SQL} AS d, min(entry_number) AS e FROM old GROUP BY 1), n AS (SELECT {CLEAN_SQL} AS d, min(entry_number) AS e FROM new GROUP BY 1),
+        o1 AS (SELECT lower(d) AS k, arg_min(d, e) AS doi FROM o WHERE d IS NOT NULL GROUP BY 1), n1 AS (SELECT lower(d) AS k, arg_min(d, e) AS doi FROM n WHERE d IS NOT NULL GROUP BY 1)
+        SELECT coalesce(n1.doi, o1.doi) AS doi, CASE WHEN o1.doi IS NULL THEN 'added' WHEN n1.doi IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM o1 FULL JOIN n1 USING (k)""",
+    "trend": f"WITH {LITERATURE}, y AS (SELECT CAST(unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001, 2005]) AS INTEGER) AS year) SELECT 'widget' AS query, y.year, CAST(count(lit.title) AS DOUBLE) AS n FROM y LEFT JOIN lit ON lit.year = y.year AND contains(lower(lit.title), 'widget') GROUP BY ALL",
+    "topic_share": f"{COUNTED} SELECT * FROM comparison ORDER BY query_type <> 'reference', average_comparison_percentage DESC NULLS LAST, query, year",
+    "wilson_band": f"""{COUNTED}, p AS (SELECT *, n / reference_n AS p, 1.96 * 1.96 AS zz FROM comparison),
+        m AS (SELECT *, (p + zz / (2 * reference_n)) / (1 + zz / reference_n) AS mid, 1.96::DOUBLE * sqrt(p * (1 - p) / reference_n + zz / (4 * reference_n * reference_n)) / (1 + zz / reference_n) AS half FROM p)
+        SELECT * EXCLUDE (p, zz, mid, half), least(100, greatest(0, 100 * (mid - half)))::DOUBLE AS low, least(100, greatest(0, 100 * (mid + half)))::DOUBLE AS high FROM m""",
+    "concept_sizes": f"""WITH {LITERATURE}, c AS (SELECT count(*) FILTER (WHERE contains(title, 'red')) AS a, count(*) FILTER (WHERE contains(title, 'blue')) AS b, count(*) FILTER (WHERE contains(title, 'widget')) AS w,
+        count(*) FILTER (WHERE contains(title, 'red') AND contains(title, 'widget')) AS aw, count(*) FILTER (WHERE contains(title, 'blue') AND contains(title, 'widget')) AS bw FROM lit)
+        SELECT label, query, CAST(n AS DOUBLE) AS n, type, CAST(size AS INTEGER) AS size, members FROM (
+            SELECT 'red' AS label, 'red' AS query, a AS n, 'concept' AS type, 1 AS size, 'red' AS members FROM c UNION ALL SELECT 'blue', 'blue', b, 'concept', 1, 'blue' FROM c UNION ALL SELECT 'widget', 'widget', w, 'concept', 1, 'widget' FROM c
+            UNION ALL SELECT 'red × widget', 'red AND widget', aw, 'intersection', 2, 'red; widget' FROM c UNION ALL SELECT 'blue × widget', 'blue AND widget', bw, 'intersection', 2, 'blue; widget' FROM c)""",
+    "boolean_query": f"WITH {LITERATURE} SELECT title, count(*) AS n FROM lit WHERE contains(title, 'widget') AND NOT contains(title, 'red') GROUP BY 1",
+    "capped_per_year": f"{WITH}, k AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY year ORDER BY entry_number) <= 5) SELECT {RECORD_COLUMNS.replace('entry_number', 'CAST(row_number() OVER (ORDER BY entry_number) AS INTEGER) AS entry_number', 1)} FROM k",
+    "bibtex_keys": f"{WITH} {KEYS_SQL} SELECT entry_number, key FROM keys",
+    "bibtex_escape": f"WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, {ESCAPE_SQL} AS escaped FROM d",
+    "bibtex_entries": f"""{WITH} {KEYS_SQL} SELECT entry_number, key, '@article{{' || key || ',' || chr(10) || concat_ws(chr(10),
+            '  author = {{' || {_ESC("replace(authors, '; ', ' and ')")} || '}},', '  title = {{' || {_ESC("title")} || '}},', '  journal = {{' || {_ESC("publication")} || '}},',
+            '  year = {{' || year || '}},', '  doi = {{' || {_ESC("doi")} || '}},', '  note = {{Scopus ID: ' || record_id || '}},') || chr(10) || '}}' AS entry FROM keys""",
+    "ris_entries": f"""{WITH} SELECT entry_number, concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || title, 'AU  - ' || replace(authors, '; ', chr(10) || 'AU  - '), 'PY  - ' || year, 'JO  - ' || publication,
+            'DO  - ' || doi, 'N1  - Scopus ID: ' || record_id, 'ER  - ') AS entry FROM records""",
+    "tagged_frame": f"{WITH} SELECT entry_number, upper(authors) AS AU, upper(title) AS TI, upper(publication) AS SO, doi AS DI, year AS PY, citations AS TC, record_id AS UT, 'SCOPUS' AS DB FROM records",
+    "json_normalise": "SELECT CAST(event_id AS VARCHAR) AS record_id, CAST(NULL AS VARCHAR) AS doi, event_type AS title, 'A; B' AS authors, CAST(year(ts) AS INTEGER) AS year, strftime(ts, '%Y-%m-%d') AS date, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS citations, 'TITLE(events)' AS query FROM events",
+    "keyword_counts": "WITH w AS (SELECT trim(unnest(string_split(text, ' ')), ' ' || chr(9) || chr(10) || chr(13)) AS keyword FROM documents) SELECT keyword, count(*) AS n FROM w WHERE keyword <> '' GROUP BY 1",
+    "cell_totals": f"{CELLS_SQL} SELECT year, n_records, reported_total, n_records >= reported_total AS complete FROM declared",
+    "reported_total": f"{CELLS_SQL} SELECT CASE WHEN count(*) = count(reported_total) THEN sum(reported_total) END AS total, count(reported_total) AS cells_reported, count(*) FILTER (WHERE n_records >= reported_total) AS cells_complete FROM declared",
+    "bind_union_columns": f"{WITH} {SLICES} SELECT count(*) AS entry_number, count(doi) AS doi, count(*) FILTER (WHERE s = 1 AND citations IS NOT NULL) AS citations, count(*) FILTER (WHERE s = 1) AS authkeywords, CAST(count(*) AS INTEGER) AS last FROM bound",
+    "yearly_share": f"{WITH} SELECT year, 100.0::DOUBLE * count(*) FILTER (WHERE citations > 100) / count(*) AS cited_share FROM records GROUP BY 1",
+}
+ORACLES["doi_diff_counts"] = f"SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM ({ORACLES['doi_diff']})"
