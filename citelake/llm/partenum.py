@@ -34,12 +34,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from citelake.llm.common import connected_components, discard, materialise, read_table, split_mix, task_count
 
@@ -146,20 +145,23 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(_id, _text hash, set id or null, size) of every row."""
+    """(_id, _hash of the text, set id or null, size, sketch) of every row."""
     kind = docs.schema["_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            ids, sizes = [], []
+            ids, sizes, sketches = [], [], []
             for data in batch.column(2).to_pylist():
                 h = shingles(data, words)
                 ids.append(set_id(h) if len(h) else None)
                 sizes.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["_id", "_hash", "gid", "n"])
+                sketches.append(sketch(h) if len(h) else None)
+            made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_hash", "gid", "n", "sketch"])
 
-    return docs.mapInArrow(run, StructType([StructField("_id", kind), *(StructField(c, LongType()) for c in ("_hash", "gid", "n"))]))
+    fields = [StructField("_id", kind), *(StructField(c, LongType()) for c in ("_hash", "gid", "n")), StructField("sketch", BinaryType())]
+    return docs.mapInArrow(run, StructType(fields))
 
 
 def _lists(docs: DataFrame) -> DataFrame:
@@ -246,37 +248,47 @@ def _shared(blocks: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.int64()))], names=["lid", "members"])
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bit for every hash, FILTER_BITS in all; at most FILTER_BITS / 8 bytes reach the driver."""
-    spot = F.pmod("_hash", F.lit(FILTER_BITS)) + 1  # Spark's bitmap functions count from 1
-    rows = hashes.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+def _spot(*columns: str) -> F.Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def _filter(spots: DataFrame) -> np.ndarray:
+    """A bit for every spot, FILTER_BITS in all; at most FILTER_BITS / 8 bytes reach the driver."""
+    at = F.col("spot") + 1  # Spark's bitmap functions count from 1
+    rows = spots.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for r in rows:
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
     return out
 
 
-def _members(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(gid, n, sketch, elements) of the texts whose hashes pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gid, elements) of the sets in wanted (gid), read again from a text of each.
+
+    A filter of fixed size lets through the chosen rows and a few others, whatever the size of
+    wanted; a join then leaves the wanted sets. Texts aren't shuffled.
+    """
+    chosen = rows.where("gid IS NOT NULL").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("r")).join(wanted, "gid")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(chosen.select(_spot("r._id", "r._hash").alias("spot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
         for batch in batches:
-            rows = []
-            spots = batch.column(1).to_numpy() % FILTER_BITS
+            spots = batch.column(0).to_numpy()
             hit = (shared.value[spots // 8] >> (spots % 8).astype(np.uint8)) & 1
+            found = []
             for i in np.flatnonzero(hit).tolist():
-                h = shingles(batch.column(2)[i].as_py(), words)
+                h = shingles(batch.column(1)[i].as_py(), words)
                 if len(h) and (g := set_id(h)) not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(g)
-                    rows.append((g, len(h), sketch(h), h.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["gid", "n", "sketch", "elements"])
+                    found.append((g, h.tobytes()))
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["gid", "elements"])
 
-    return docs.mapInArrow(run, "gid long, n long, sketch binary, elements binary")
+    read = docs.select(_spot("_id", "_hash").alias("spot"), "_data").mapInArrow(run, "gid long, elements binary")
+    return read.join(wanted, "gid")
 
 
 def candidate_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame | None, few: int | None) -> DataFrame:
@@ -352,23 +364,29 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id_column, n_shingles, set_id, component_id) for every row of docs."""
+    """(id_column, text_hash, n_shingles, set_id, component_id) for every row of docs."""
     docs = docs.select(docs[id_column].alias("_id"), F.xxhash64(docs[text_column].cast("string")).alias("_hash"), docs[text_column].cast("string").cast("binary").alias("_data"))
     rows = materialise(_sets(docs), "sets")
     lists = materialise(_lists(docs), "lists")
-    wanted = lists.select(F.explode("members").alias("gid")).distinct()
-    hashes = rows.where("gid IS NOT NULL").groupBy("gid").agg(F.min("_hash").alias("_hash")).join(wanted, "gid")
-    found = _members(docs, _filter(hashes)).groupBy("gid").agg(F.first(F.struct("n", "sketch", "elements")).alias("s"))
-    sets = materialise(found.join(wanted, "gid").select("gid", "s.*"), "elements")
-    links, labels = [], None
+    shared = lists.select(F.explode("members").alias("gid")).distinct()
+    known = rows.where("gid IS NOT NULL").groupBy("gid").agg(F.first(F.struct("n", "sketch")).alias("s"))
+    info = materialise(known.join(shared, "gid").select("gid", "s.*"), "info")
+    checked: DataFrame | None = None
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    labels: DataFrame | None = None
     for few in ROUNDS:
-        pairs = materialise(candidate_pairs(lists, sets, labels, few), "pairs")
-        links.append(materialise(verify(pairs, sets), "links"))
-        discard(pairs)
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = materialise(connected_components(every), "labels")
+        pairs = candidate_pairs(lists, info, labels, few)
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        if labels is not None and pairs.isEmpty():
+            continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+        sets = materialise(elements_of(docs, rows, wanted), "elements")
+        links = links.unionByName(materialise(verify(pairs, sets), "links"))
+        discard(sets)
+        labels = materialise(connected_components(links), "labels")
     return _named(rows, labels).withColumnRenamed("_id", id_column)
 
 
@@ -379,7 +397,30 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     lows = own.groupBy("component").agg(F.min("low").alias("component_id"))
     by_set = own.join(lows, "component").select("gid", "component_id")
     joined = rows.join(by_set, "gid", "left")
-    return joined.select("_id", F.col("n").alias("n_shingles"), F.col("gid").alias("set_id"), F.when(F.col("gid").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select("_id", F.col("_hash").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("gid").alias("set_id"), F.when(F.col("gid").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: the smallest doc_id's (null last), then by text hash.
+
+    A document without words is a component of its own, but its copies under one id count once.
+    Only the keys of documents that go are joined to docs, so what stays isn't dealt anew if these
+    are few; kept documents that occur more than once under one id and text are joined apart.
+    """
+    found = components(docs)
+    group = F.when(F.col("set_id").isNull(), F.struct(F.lit(1).alias("k"), F.xxhash64("doc_id").alias("g"))).otherwise(F.struct(F.lit(0).alias("k"), F.coalesce("component_id", "set_id").alias("g")))
+    keys = found.withColumn("_group", group).groupBy("_group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keys = materialise(keys.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))), "keys")
+    best = keys.groupBy("_group").agg(F.min("_rank").alias("_best"))
+    judged = keys.join(best, "_group").withColumn("_kept", F.col("_rank") == F.col("_best"))
+    names = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")]
+    gone = materialise(judged.where("NOT _kept").select(*names), "gone")
+    again = materialise(judged.where("_kept AND n > 1").select(*names), "again")
+    marked = docs.withColumn("_text_hash", F.xxhash64(docs["text"].cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))
+    once = marked.join(gone.unionByName(again), same, "left_anti").select(*docs.columns)
+    repeated = marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    return once.unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
