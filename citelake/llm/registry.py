@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from citelake.llm import bpe, chat, fingerprints, html_text, mixing, partenum, pii, quality, secrets
+from citelake.llm import bpe, chat, fingerprints, html_text, itq, mixing, partenum, pii, quality, secrets
 
 QUERIES = {
     "op1_chat": chat.query,
     "op3_secrets": secrets.query,
     "op4_pii": pii.query,
+    "op2_itq": itq.query,
     "op5_partenum": partenum.query,
     "op6_html": html_text.query,
     "op7_mixing": mixing.query,
