@@ -18,10 +18,10 @@ come from PartEnum signatures:
 
 So no link is lost. Signatures travel as binary blocks by hash range, 12 bytes each, and sets that
 share one form a list; equal lists count once. Within lists, pairs are ruled out exactly by size
-and by a parity sketch of 512 bits (its distance never exceeds the sets' difference). What is left
-is checked in rounds: for each set the closest few of other components, then more, then all, so a
-large group of near copies is tied together by few checks, and lists of any size are handled in
-blocks of BLOCK sets. Sets are identified by 64-bit hashes, so exact copies are one from the start.
+and by parity sketches (their distance never exceeds the sets' difference). What is left is checked
+in rounds: for each set the closest few of other components, then, in lists where that left some
+out, more, then all, so a large group of near copies is tied together by few checks, and lists of
+any size are handled in blocks of BLOCK sets. Sets are identified by 64-bit hashes, so exact copies are one from the start.
 
 Defined cases: a null text counts as empty; without words a set is empty and the document alone;
 with fewer words than SHINGLE the whole sequence is one shingle; a null id never becomes a
@@ -45,6 +45,7 @@ from citelake.llm.common import connected_components, discard, materialise, read
 SHINGLE, PERCENT = 5, 80
 PARTS = 3
 SMALL = 16
+WIDEST = 1 << 16
 BLOCK = 1000
 ROUNDS = (2, 16, None)  # candidates of a set in each round; None: all
 FLUSH = 1_500_000  # signatures held by a task before they are handed on
@@ -133,7 +134,15 @@ def signatures(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes()
+    """Parities of the elements by their low bits; two bits or more an element, up to WIDEST."""
+    bits = min(WIDEST, max(512, 1 << (2 * len(h) - 1).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(rows: np.ndarray) -> np.ndarray:
+    """Sketches of twice the width as sketches of half of it: the parities of both halves together."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -295,6 +304,7 @@ def candidate_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame | None,
     """(a, b): pairs of a list in different components that size and sketch allow.
 
     few: at most so many for each set and block, the closest by sketch; None for all of them.
+    A row (list, null) names a list in which that left some out.
     """
     known = info.select("gid", "n", "sketch")
     known = known.withColumn("c", F.col("gid")) if labels is None else known.join(labels.select(F.col("node").alias("gid"), "component"), "gid", "left").select("gid", "n", "sketch", F.coalesce("component", "gid").alias("c"))
@@ -309,26 +319,41 @@ def candidate_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame | None,
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: set[tuple[int, int]] = set()
-            xs = batch.column(2)
+            more = set()
+            xs = batch.column(3)
             flat, offsets = xs.flatten(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
             g, c, n, own = (flat.field(k).to_numpy() for k in range(4))
-            bits = np.frombuffer(b"".join(flat.field(4).to_pylist()), dtype=np.uint64).reshape(-1, 8)
-            apart = (batch.column(0).to_numpy() != batch.column(1).to_numpy()).tolist()
-            for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                if hi - lo >= 2 and (c[lo:hi] != c[lo]).any():
-                    _choose(g[lo:hi], c[lo:hi], n[lo:hi], own[lo:hi] if apart[k] else None, bits[lo:hi], few, out)
-            pairs = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            sketches = flat.field(4).to_pylist()
+            apart = (batch.column(1).to_numpy() != batch.column(2).to_numpy()).tolist()
+            for lid, split, lo, hi in zip(batch.column(0).to_pylist(), apart, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if hi - lo >= 2 and (c[lo:hi] != c[lo]).any() and _choose(g[lo:hi], c[lo:hi], n[lo:hi], own[lo:hi] if split else None, sketches[lo:hi], few, out):
+                    more.add(lid)
+            pairs = [*sorted(out), *((lid, None) for lid in more)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return grouped.select("lid", "i", "j", "xs").mapInArrow(choose, "a long, b long").distinct()
 
-    return grouped.select("i", "j", "xs").mapInArrow(choose, "a long, b long").distinct()
 
+def _choose(g, c, n, own, sketches, few, out: set[tuple[int, int]]) -> bool:
+    """Adds the allowed pairs of one block to out; whether `few` left some out.
 
-def _choose(g, c, n, own, bits, few, out: set[tuple[int, int]]) -> None:
-    """Adds the allowed pairs of one block to out; row by row, so memory is linear in the block."""
+    Row by row over sets sorted by size, so memory is linear in the block. A partner is as wide as
+    the set or twice as wide; each width has a matrix that holds its own rows and the next, folded.
+    """
     order = np.argsort(n, kind="stable")
-    g, c, n, bits = g[order], c[order], n[order], bits[order]
+    g, c, n = g[order], c[order], n[order]
     own = own[order] if own is not None else None
+    sketches = [sketches[k] for k in order]
     last = np.searchsorted(n, n * 100 // PERCENT, side="right")
+    width = np.array([len(x) for x in sketches])
+    by_width: dict[int, tuple[int, np.ndarray]] = {}
+    for w in np.unique(width).tolist():
+        lo, mid, hi = (int(np.searchsorted(width, x)) for x in (w, w + 1, 2 * w + 1))
+        rows = np.frombuffer(b"".join(sketches[lo:mid]), np.uint64).reshape(mid - lo, -1)
+        if hi > mid:
+            rows = np.vstack([rows, folded(np.frombuffer(b"".join(sketches[mid:hi]), np.uint64).reshape(hi - mid, -1))])
+        by_width[w] = lo, rows
+    more = False
     for i in range(len(g) - 1):
         lo, hi = i + 1, int(last[i])
         if lo >= hi:
@@ -339,13 +364,15 @@ def _choose(g, c, n, own, bits, few, out: set[tuple[int, int]]) -> None:
         at = np.flatnonzero(right) + lo
         if not len(at):
             continue
-        apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
+        base, rows = by_width[int(width[i])]
+        apart = np.bitwise_count(rows[at - base] ^ rows[i - base]).sum(1, dtype=np.int64)
         allowed = apart * (100 + PERCENT) <= (100 - PERCENT) * (n[at] + n[i])
         at, apart = at[allowed], apart[allowed]
         if few is not None and len(at) > few:
-            at = at[np.argsort(apart, kind="stable")[:few]]
+            at, more = at[np.argsort(apart, kind="stable")[:few]], True
         for j in at.tolist():
             out.add((int(min(g[i], g[j])), int(max(g[i], g[j]))))
+    return more
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -375,18 +402,20 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels: DataFrame | None = None
     for few in ROUNDS:
-        pairs = candidate_pairs(lists, info, labels, few)
+        found = materialise(candidate_pairs(lists, info, labels, few), "pairs")
+        pairs = found.where("b IS NOT NULL")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        if labels is not None and pairs.isEmpty():
-            continue
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
         sets = materialise(elements_of(docs, rows, wanted), "elements")
         links = links.unionByName(materialise(verify(pairs, sets), "links"))
         discard(sets)
         labels = materialise(connected_components(links), "labels")
+        unfinished = found.where("b IS NULL").select(F.col("a").alias("lid"))
+        if unfinished.isEmpty():
+            break
+        lists = lists.join(unfinished, "lid", "left_semi")
     return _named(rows, labels).withColumnRenamed("_id", id_column)
 
 
