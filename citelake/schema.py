@@ -15,7 +15,7 @@ RECORDS = _schema(entry_number="int", record_id="string", doi="string", title="s
 KEYWORDS = T.StructField("authkeywords", T.StringType())
 COMPARISON = _schema(query="string", query_type="string", abridged_query="string", year="int", n="double", reference_n="double", comparison_percentage="double", average_comparison_percentage="double")
 REFERENCE = _schema(position="string", id="string", doi="string", title="string", authors="string", source="string", year="int", citedbycount="int")
-ABSTRACTS = _schema(id="string", doi="string", title="string", abstract="string", publication="string", date="string", year="int", citations="int")
+ABSTRACTS = _schema(id="string", record_id="string", doi="string", title="string", abstract="string", publication="string", year="int", citations="int")
 
 
 def records_schema(view: str = "STANDARD") -> T.StructType:

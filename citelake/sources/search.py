@@ -54,8 +54,6 @@ class SearchReader(DataSourceReader):
         total = total_of(results)
         if total is None:  # without a total, pages must be asked for in turn
             return [Pages(((0, -1),))]
-        if total > self.hard_cap and (self.limit is None or self.limit > self.hard_cap):
-            warnings.warn(f"{total:.0f} records match, but offset paging ends after {self.hard_cap}; use a cursor or a plan by year", Capped, stacklevel=2)
         wanted = int(min(x for x in (total, self.limit, self.hard_cap) if x is not None))
         pages = [(s, min(self.page_size, wanted - s)) for s in range(0, wanted, self.page_size)]
         return [Pages(tuple(pages[i : i + PAGES_A_PARTITION])) for i in range(0, len(pages), PAGES_A_PARTITION)]
