@@ -48,9 +48,10 @@ SMALL = 16
 WIDEST = 1 << 16
 BLOCK = 1000
 ROUNDS = (2, 16, None)  # candidates of a set in each round; None: all
-FLUSH = 1_500_000  # signatures held by a task before they are handed on
+FLUSH = 1_000_000  # signatures held by a task before they are handed on
 FILTER_BITS = 1 << 23  # of the fixed-size filter that spares shingling texts without candidates
-WORDS_CACHED = 400_000
+LISTS_AT_ONCE = 500
+WORDS_CACHED = 200_000
 _ONE = np.uint64(1)
 
 
@@ -303,45 +304,56 @@ def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
 def candidate_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame | None, few: int | None) -> DataFrame:
     """(a, b): pairs of a list in different components that size and sketch allow.
 
-    few: at most so many for each set and block, the closest by sketch; None for all of them.
-    A row (list, null) names a list in which that left some out.
+    few: at most so many for each set and block, the closest by sketch; None for all of them. In
+    the first round (no labels yet) a set asks in one of its lists only. A row (list, null) names a
+    list in which pairs were left out.
     """
     known = info.select("gid", "n", "sketch")
     known = known.withColumn("c", F.col("gid")) if labels is None else known.join(labels.select(F.col("node").alias("gid"), "component"), "gid", "left").select("gid", "n", "sketch", F.coalesce("component", "gid").alias("c"))
     blocks = F.ceil(F.size("members") / BLOCK).cast("int")
     rows = lists.select("lid", blocks.alias("blocks"), F.explode("members").alias("gid"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    rows = rows.join(known, "gid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if labels is None:
+        known = known.join(rows.groupBy("gid").agg(F.min("lid").alias("home")), "gid")
+        asks = (F.col("lid") == F.col("home")).cast("int")
+    else:
+        asks = F.lit(1)
+    rows = rows.join(known, "gid").withColumn("asks", asks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    item = F.struct("gid", "c", "n", "own", "sketch")
+    item = F.struct("gid", "c", "n", "own", "asks", "sketch")
     grouped = rows.select("lid", *pair, item.alias("x")).groupBy("lid", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[int, int]] = set()
-            more = set()
-            xs = batch.column(3)
-            flat, offsets = xs.flatten(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
-            g, c, n, own = (flat.field(k).to_numpy() for k in range(4))
-            sketches = flat.field(4).to_pylist()
-            apart = (batch.column(1).to_numpy() != batch.column(2).to_numpy()).tolist()
-            for lid, split, lo, hi in zip(batch.column(0).to_pylist(), apart, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                if hi - lo >= 2 and (c[lo:hi] != c[lo]).any() and _choose(g[lo:hi], c[lo:hi], n[lo:hi], own[lo:hi] if split else None, sketches[lo:hi], few, out):
-                    more.add(lid)
-            pairs = [*sorted(out), *((lid, None) for lid in more)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for at in range(0, batch.num_rows, LISTS_AT_ONCE):
+                pairs = _choose_in(batch.slice(at, LISTS_AT_ONCE), few)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return grouped.select("lid", "i", "j", "xs").mapInArrow(choose, "a long, b long").distinct()
 
 
-def _choose(g, c, n, own, sketches, few, out: set[tuple[int, int]]) -> bool:
-    """Adds the allowed pairs of one block to out; whether `few` left some out.
+def _choose_in(batch: pa.RecordBatch, few: int | None) -> list[tuple[int, int | None]]:
+    out: set[tuple[int, int]] = set()
+    more = set()
+    xs = batch.column(3)
+    flat, offsets = xs.flatten(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
+    g, c, n, own, asks = (flat.field(k).to_numpy() for k in range(5))
+    sketches = flat.field(5).to_pylist()
+    apart = (batch.column(1).to_numpy() != batch.column(2).to_numpy()).tolist()
+    for lid, split, lo, hi in zip(batch.column(0).to_pylist(), apart, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if hi - lo >= 2 and (c[lo:hi] != c[lo]).any() and _choose(g[lo:hi], c[lo:hi], n[lo:hi], own[lo:hi] if split else None, asks[lo:hi], sketches[lo:hi], few, out):
+            more.add(lid)
+    return [*sorted(out), *((lid, None) for lid in more)]
+
+
+def _choose(g, c, n, own, asks, sketches, few, out: set[tuple[int, int]]) -> bool:
+    """Adds the allowed pairs of one block to out; whether some were left out.
 
     Row by row over sets sorted by size, so memory is linear in the block. A partner is as wide as
     the set or twice as wide; each width has a matrix that holds its own rows and the next, folded.
     """
     order = np.argsort(n, kind="stable")
-    g, c, n = g[order], c[order], n[order]
+    g, c, n, asks = g[order], c[order], n[order], asks[order]
     own = own[order] if own is not None else None
     sketches = [sketches[k] for k in order]
     last = np.searchsorted(n, n * 100 // PERCENT, side="right")
@@ -368,6 +380,9 @@ def _choose(g, c, n, own, sketches, few, out: set[tuple[int, int]]) -> bool:
         apart = np.bitwise_count(rows[at - base] ^ rows[i - base]).sum(1, dtype=np.int64)
         allowed = apart * (100 + PERCENT) <= (100 - PERCENT) * (n[at] + n[i])
         at, apart = at[allowed], apart[allowed]
+        if not asks[i] and len(g) > 2:
+            more |= len(at) > 0
+            continue
         if few is not None and len(at) > few:
             at, more = at[np.argsort(apart, kind="stable")[:few]], True
         for j in at.tolist():
