@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from citelake.llm import bpe, chat, fingerprints, html_text, itq, mixing, partenum, pii, quality, secrets
+from citelake.llm import bpe, chat, fingerprints, html_text, itq, mixing, oracles, partenum, pii, quality, secrets
 
 QUERIES = {
     "op1_chat": chat.query,
+    "op2_itq": itq.query,
     "op3_secrets": secrets.query,
     "op4_pii": pii.query,
-    "op2_itq": itq.query,
     "op5_partenum": partenum.query,
     "op6_html": html_text.query,
     "op7_mixing": mixing.query,
@@ -16,14 +16,4 @@ QUERIES = {
     "op9_fingerprints": fingerprints.query,
     "op10_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {
-    "op1_chat": """
-        SELECT conv_id, CAST(floor(turn / 4096) AS BIGINT) AS part, count(*) AS n_turns,
-               string_agg(role, ' ' ORDER BY turn, text, role) AS roles,
-               CAST(0 AS BIGINT) AS n_recovered,
-               string_agg('<|' || role || '|>' || chr(10)
-                          || replace(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)), '<|', '< |')
-                          || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, text, role) AS rendered
-        FROM conversations GROUP BY ALL
-    """,
-}
+ORACLES: dict[str, str] = {"op1_chat": oracles.CHAT, "op2_itq": oracles.ITQ, "op5_partenum": oracles.PARTENUM}
