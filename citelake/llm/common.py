@@ -59,6 +59,13 @@ def task_count(df: DataFrame, per_partition: int = 1) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_partition
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of a batch is in Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: str, make: Callable[[], Callable[[list], dict[str, list]]], rows: int = 500) -> DataFrame:
     """id_column and the columns that make()'s function gives for each list of texts.
 
@@ -73,12 +80,10 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: str, ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = function(part.column(1).to_pylist())
-                arrays = [pa.array(out[f.name], type=f.type) for f in made]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["i", *made.names])
+        for part in slices(batches, rows):
+            out = function(part.column(1).to_pylist())
+            arrays = [pa.array(out[f.name], type=f.type) for f in made]
+            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["i", *made.names])
 
     source = docs.select(docs[id_column].alias("i"), docs[text_column].alias("t"))
     return source.mapInArrow(run, whole).withColumnRenamed("i", id_column)

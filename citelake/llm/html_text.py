@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from citelake.llm.common import read_table, split_mix, task_count
+from citelake.llm.common import read_table, slices, split_mix, task_count
 
 MIN_RUN = 10
 PROTECTED, OPEN, NOISE = 2, 1, 0
@@ -221,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fields += [StructField("open", ArrayType(StringType())), StructField("firsts", longs), StructField("keys", longs)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, opens, firsts, keys = [], [], [], []
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = blocks(page)
@@ -238,7 +238,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, opens, firsts, marks = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
             texts = [t if t is not None else unique_runs(o or [], f or [], m or []) for t, o, f, m in zip(texts, opens, firsts, marks, strict=True)]
             counts = pa.array([len(t) for t in texts], pa.int64())

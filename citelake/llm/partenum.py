@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from citelake.llm.common import connected_components, discard, materialise, read_table, split_mix, task_count
+from citelake.llm.common import connected_components, discard, materialise, read_table, slices, split_mix, task_count
 
 SHINGLE, PERCENT = 5, 80
 PARTS = 3
@@ -48,10 +48,10 @@ SMALL = 16
 WIDEST = 1 << 16
 BLOCK = 1000
 ROUNDS = (2, 16, None)  # candidates of a set in each round; None: all
-FLUSH = 1_000_000  # signatures held by a task before they are handed on
+FLUSH = 500_000  # signatures held by a task before they are handed on
 FILTER_BITS = 1 << 23  # of the fixed-size filter that spares shingling texts without candidates
 LISTS_AT_ONCE = 500
-WORDS_CACHED = 200_000
+WORDS_CACHED = 150_000
 _ONE = np.uint64(1)
 
 
@@ -160,7 +160,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, sketches = [], [], []
             for data in batch.column(2).to_pylist():
                 h = shingles(data, words)
@@ -193,7 +193,7 @@ def _lists(docs: DataFrame) -> DataFrame:
             blocks = [s[a:b].tobytes() + g[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for data in batch.column(2).to_pylist():
                 h = shingles(data, words)
                 if not len(h) or (g := set_id(h)) in seen:
@@ -283,7 +283,7 @@ def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in slices(batches):
             spots = batch.column(0).to_numpy()
             hit = (shared.value[spots // 8] >> (spots % 8).astype(np.uint8)) & 1
             found = []
@@ -396,7 +396,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("gid").alias("b"), F.col("elements").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
             good = [linked(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) for i in range(batch.num_rows)]
             kept = batch.filter(pa.array(good, pa.bool_()))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelake.llm.boosting import BoostedTrees
-from citelake.llm.common import map_texts, read_table
+from citelake.llm.common import map_texts, read_table, slices
 from citelake.llm.secrets import SPANS, joined, of_kind
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -239,7 +239,7 @@ def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [redacted(t, model.spans(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
 

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from citelake.llm.common import slices
+
 SAMPLE = 4000
 HASH_BITS = 18
 LEAST_DOCUMENTS = 8
 LEAST_DEVIATIONS = 3.5
-WORDS_CACHED = 400_000
+WORDS_CACHED = 150_000
 STYLE = 14
 
 
@@ -134,7 +136,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, label_columns: tuple[str,
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in slices(batches):
             made = [describe(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.int64()), pa.array([m[0].tolist() for m in made], type=pa.list_(pa.int64())), pa.array([m[1].tolist() for m in made], type=pa.list_(pa.float64()))],
@@ -159,7 +161,7 @@ def with_posteriors(docs: DataFrame, model: TextModel, posterior: str, tokens: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Words(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             made, counts = [], []
             for text in batch.column(0).to_pylist():
                 index, style, n = describe(text, words)
