@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -32,7 +33,7 @@ from citelake.llm.common import map_texts, read_table
 
 WINDOW_STEPS = (1, 2, 4, 8)  # a rolling hash over 16 bytes
 CHUNK_BITS = 9  # chunks of 512 bytes on average
-CACHE_BYTES = 64 << 20  # of chunk text kept by a worker; beyond it the cache starts afresh
+CACHE_BYTES = 16 << 20  # of chunk text kept by a worker; beyond it the cache starts afresh
 _SURE = re.compile(rb"(?<=[!-~\x80-\xff]) (?=[!-~\x80-\xff])")  # ASCII space between non-space bytes
 #: Unicode spaces in UTF-8 begin or end with these bytes; a limit beside one isn't sure.
 _ODD_LEFT = re.compile(rb"(?:\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\xaf]|\xe2\x81[\x9f-\xa0]|\xe3\x80\x80)$")
@@ -92,7 +93,7 @@ class Encoder:
         sure = _sure_limits(data)
         made = None
         if sure and sure[0] < sure[1]:
-            made = data[: sure[0]], self._encode(data[sure[0] : sure[1]]), data[sure[1] :]
+            made = data[: sure[0]], array("I", self._encode(data[sure[0] : sure[1]])), data[sure[1] :]
         self.kept += len(data)
         if self.kept > self.cache_bytes:
             self.cache.clear()
@@ -115,7 +116,7 @@ class Encoder:
                 continue
             head, core, tail = found
             ids += self._encode(join + head)
-            ids += core
+            ids.extend(core)
             join = tail
         return ids + self._encode(join)
 

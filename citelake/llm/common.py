@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +91,7 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: str, ma
 # -- connected components ------------------------------------------------------------------
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one task as a forest of stars, which has the same components."""
     parent: dict[int, int] = {}
 
@@ -103,7 +102,7 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for batch in batches:
-        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -113,9 +112,9 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _stars(parent, root)
 
 
-def _stars(parent: dict[int, int], root: Callable[[int], int]) -> pd.DataFrame:
-    pairs = [(x, root(x)) for x in list(parent)]
-    return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+def _stars(parent: dict[int, int], root: Callable[[int], int]) -> pa.RecordBatch:
+    pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -127,7 +126,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with a null end and loops are ignored; an empty table gives an empty table.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInPandas(_forest, "a long, b long")
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInArrow(_forest, "a long, b long")
     current = materialise(edges.distinct(), "edges")
     state = _state(current)
     while state[0]:

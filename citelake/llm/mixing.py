@@ -114,11 +114,10 @@ def mix(docs: DataFrame, labels: DataFrame, label_columns: tuple[str, ...], targ
     model = fit_on_labels(docs, labels, label_columns)
     wanted = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "posteriors", "rate")]
     if "text" in wanted:  # texts are scored again rather than written
-        table = materialise(with_posteriors(docs, model, "posteriors", "n_tokens", keep=[]), "posteriors")
-        scored = with_posteriors(docs, model, "posteriors", "n_tokens", keep=wanted)
-    else:
-        table = scored = materialise(with_posteriors(docs, model, "posteriors", "n_tokens", keep=wanted), "posteriors")
-    return with_rates(scored, fit_rates(table, targets), model.classes)
+        rates = fit_rates(materialise(with_posteriors(docs, model, "posteriors", "n_tokens", keep=[]), "posteriors"), targets)
+        return with_posteriors(docs, model, "posteriors", "n_tokens", keep=wanted, derived=("rate", rates.of))
+    table = materialise(with_posteriors(docs, model, "posteriors", "n_tokens", keep=wanted), "posteriors")
+    return with_rates(table, fit_rates(table, targets), model.classes)
 
 
 def realise(rated: DataFrame, columns: list[str]) -> DataFrame:

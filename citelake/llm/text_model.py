@@ -150,14 +150,17 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, label_columns: tuple[str,
     return TextModel(classes).fit(pairs, table["y"].to_numpy(dtype=np.int64))
 
 
-def with_posteriors(docs: DataFrame, model: TextModel, posterior: str, tokens: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def with_posteriors(
+    docs: DataFrame, model: TextModel, posterior: str, tokens: str | None = None, keep: list[str] | None = None, derived: tuple[str, Callable[[np.ndarray], np.ndarray]] | None = None
+) -> DataFrame:
     """docs (or its columns `keep`) with an array column of class posteriors and, if named, word counts.
 
+    derived: the name of a column of doubles, and what makes it of the posteriors' matrix.
     Columns of docs that bear these names are replaced. No shuffle; the model (bounded) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (posterior, tokens)]
-    fields = [docs.schema[c] for c in kept] + [StructField(posterior, ArrayType(DoubleType()))] + ([StructField(tokens, LongType())] if tokens else [])
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (posterior, tokens, derived and derived[0])]
+    fields = [docs.schema[c] for c in kept] + [StructField(posterior, ArrayType(DoubleType()))] + ([StructField(tokens, LongType())] if tokens else []) + ([StructField(derived[0], DoubleType())] if derived else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Words(), shared.value
@@ -168,10 +171,9 @@ def with_posteriors(docs: DataFrame, model: TextModel, posterior: str, tokens: s
                 made.append(known.posterior(index, style).tolist())
                 counts.append(n)
             arrays = [*batch.columns[1:], pa.array(made, type=pa.list_(pa.float64()))] + ([pa.array(counts, type=pa.int64())] if tokens else [])
+            if derived:
+                arrays.append(pa.array(derived[1](np.array(made).reshape(-1, known.classes)), type=pa.float64()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
     source = docs.select(docs["text"].alias("_scored"), *(docs[c] for c in kept))
     return source.mapInArrow(run, StructType(fields))
-
-
-Scorer = Callable[[DataFrame], DataFrame]
