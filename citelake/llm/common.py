@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,11 +61,22 @@ def task_count(df: DataFrame, per_partition: int = 1) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * per_partition
 
 
+def released() -> None:
+    """Give a worker's free memory back, as it may stay idle beside the next stage's workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that little of a batch is in Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        released()
 
 
 def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: str, make: Callable[[], Callable[[list], dict[str, list]]], rows: int = 500) -> DataFrame:

@@ -46,6 +46,7 @@ SHINGLE, PERCENT = 5, 80
 PARTS = 3
 SMALL = 16
 WIDEST = 1 << 16
+ELEMENT_BYTES = 6
 BLOCK = 1000
 ROUNDS = (2, 16, None)  # candidates of a set in each round; None: all
 FLUSH = 500_000  # signatures held by a task before they are handed on
@@ -135,8 +136,11 @@ def signatures(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parities of the elements by their low bits; two bits or more an element, up to WIDEST."""
-    bits = min(WIDEST, max(512, 1 << (2 * len(h) - 1).bit_length()))
+    """Parities of the elements by their low bits; a bit or more an element, up to WIDEST.
+
+    Unrelated sets of n then differ in nearly half of their bits or more, linked ones in 2n / 9 at most.
+    """
+    bits = min(WIDEST, max(256, 1 << (len(h) - 1).bit_length()))
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -146,6 +150,17 @@ def folded(rows: np.ndarray) -> np.ndarray:
     return rows[:, :half] ^ rows[:, half:]
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The hashes' upper bytes: 48 bits tell the shingles of two texts apart."""
+    return h.view(np.uint8).reshape(-1, 8)[:, 8 - ELEMENT_BYTES :].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // ELEMENT_BYTES, 8), dtype=np.uint8)
+    out[:, 8 - ELEMENT_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, ELEMENT_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
@@ -273,10 +288,10 @@ def _filter(spots: DataFrame) -> np.ndarray:
 
 
 def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gid, elements) of the sets in wanted (gid), read again from a text of each.
+    """(gid, elements) of the sets in wanted (gid), and of a few others, read again from a text of each.
 
     A filter of fixed size lets through the chosen rows and a few others, whatever the size of
-    wanted; a join then leaves the wanted sets. Texts aren't shuffled.
+    wanted. Texts aren't shuffled. elements holds the sorted hashes' upper ELEMENT_BYTES bytes.
     """
     chosen = rows.where("gid IS NOT NULL").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("r")).join(wanted, "gid")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(chosen.select(_spot("r._id", "r._hash").alias("spot"))))
@@ -293,12 +308,11 @@ def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(g)
-                    found.append((g, h.tobytes()))
+                    found.append((g, packed(h)))
             columns = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["gid", "elements"])
 
-    read = docs.select(_spot("_id", "_hash").alias("spot"), "_data").mapInArrow(run, "gid long, elements binary")
-    return read.join(wanted, "gid")
+    return docs.select(_spot("_id", "_hash").alias("spot"), "_data").mapInArrow(run, "gid long, elements binary")
 
 
 def candidate_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame | None, few: int | None) -> DataFrame:
@@ -398,7 +412,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, y = batch.column(2), batch.column(3)
-            good = [linked(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) for i in range(batch.num_rows)]
+            good = [linked(unpacked(x[i].as_py()), unpacked(y[i].as_py())) for i in range(batch.num_rows)]
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -448,23 +462,35 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the smallest doc_id's (null last), then by text hash.
 
     A document without words is a component of its own, but its copies under one id count once.
-    Only the keys of documents that go are joined to docs, so what stays isn't dealt anew if these
-    are few; kept documents that occur more than once under one id and text are joined apart.
+    A filter of fixed size passes most documents that stay without a join; the others are joined to
+    the keys that go, and kept documents that occur more than once under one id and text are reduced
+    to one.
     """
     found = components(docs)
     group = F.when(F.col("set_id").isNull(), F.struct(F.lit(1).alias("k"), F.xxhash64("doc_id").alias("g"))).otherwise(F.struct(F.lit(0).alias("k"), F.coalesce("component_id", "set_id").alias("g")))
     keys = found.withColumn("_group", group).groupBy("_group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     keys = materialise(keys.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))), "keys")
-    best = keys.groupBy("_group").agg(F.min("_rank").alias("_best"))
+    best = materialise(keys.groupBy("_group").agg(F.min("_rank").alias("_best")), "best")  # so a large group can be split
     judged = keys.join(best, "_group").withColumn("_kept", F.col("_rank") == F.col("_best"))
     names = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")]
     gone = materialise(judged.where("NOT _kept").select(*names), "gone")
     again = materialise(judged.where("_kept AND n > 1").select(*names), "again")
+    every = gone.unionByName(again)
+    words = _filter(every.select(_spot("_id", "_th").alias("spot"))).view(np.int64).tolist()
+    table = F.from_json(F.lit(str(words)), "array<bigint>")  # FILTER_BITS, whatever the size of docs
     marked = docs.withColumn("_text_hash", F.xxhash64(docs["text"].cast("string")))
+    spot = _spot("doc_id", "_text_hash")
+    marked = marked.withColumn("_hit", _bit(table, spot))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))
-    once = marked.join(gone.unionByName(again), same, "left_anti").select(*docs.columns)
-    repeated = marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    sure = marked.where("NOT _hit").select(*docs.columns)
+    once = marked.where("_hit").join(every, same, "left_anti").select(*docs.columns)
+    repeated = marked.where("_hit").join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    return sure.unionByName(once).unionByName(repeated)
+
+
+def _bit(table: F.Column, spot: F.Column) -> F.Column:
+    word = F.element_at(table, (F.floor(spot / 64) + 1).cast("int"))
+    return F.getbit(word, (spot % 64).cast("int")) == 1
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
