@@ -18,7 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 
+#: Rows of whole texts are long: Arrow batches of the default 10,000 rows would take tens of MB on both sides.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_ARROW_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. Lowers the session's Arrow batch size, if it is higher than whole texts allow."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= MOST_ARROW_ROWS:
+        spark.conf.set(ARROW_ROWS, str(MOST_ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

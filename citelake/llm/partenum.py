@@ -140,7 +140,7 @@ def sketch(h: np.ndarray) -> bytes:
 
     Unrelated sets of n then differ in nearly half of their bits or more, linked ones in 2n / 9 at most.
     """
-    bits = min(WIDEST, max(256, 1 << (len(h) - 1).bit_length()))
+    bits = min(WIDEST, max(512, 1 << (len(h) - 1).bit_length()))
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
