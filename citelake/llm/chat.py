@@ -12,6 +12,10 @@ never gathered in one task: each part gives a matrix of best scores from state t
 matrices of a conversation are chained to find the states at the limits of its parts, and then
 each part is decoded between its limits. The result has a row for each part; usually that is one.
 
+The query takes the roles as given: each row is a turn with a role, so its markers are not read and
+no role of the tables is recovered. Where only transcripts are at hand, parse_transcripts recovers
+turns and roles from the markers and features of their lines, one transcript a row.
+
 Defined cases: a null text counts as empty; rows of equal turn number are ordered by text, then
 role; null turn numbers form part -1, ordered likewise; a null conv_id is one conversation; null
 and unknown roles are recovered; repeated rows are repeated turns; an empty table gives an empty
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm.common import read_table
+from citelake.llm.common import map_texts, read_table
 
 ROLES = ("system", "user", "assistant")
 #: Fixed names of roles in common transcript formats.
@@ -42,6 +46,7 @@ PART = 4096
 SAMPLE = 20_000
 GIVEN, LABELLED = 1e-6, 1e-3  # chance of a wrong role beside a turn, and of a misleading label in a line
 _LABEL = re.compile(r"\s*(?:<\|(?:im_start\|>)?|#{1,4}\s*|\*\*|\[)?([A-Za-z]{1,12})(?:\|>|\*\*|\])?\s*(:|\n|$)(?:\*\*)?\s*")
+_END = re.compile(r"\s*<\|(?:im_)?end\|>\s*\Z")
 BINS = 24
 
 
@@ -65,31 +70,39 @@ def label_of(line: str) -> tuple[int, str] | None:
 class Hmm:
     start: np.ndarray  # log, by role
     follow: np.ndarray  # log, role to role
-    bins: np.ndarray  # log, role x BINS
+    bins: np.ndarray  # log, role x BINS, of whole turns
+    lines: np.ndarray  # the same of single lines
     more: float = 0.6  # chance that a turn goes on in the next line
 
     @classmethod
     def counted(cls, turns: Sequence[tuple[object, str | None, str | None]]) -> Hmm:
         """From (conversation, role, text) in order."""
-        start, follow, bins = np.full(3, 1.0), np.full((3, 3), 1.0), np.full((3, BINS), 1.0)
+        start, follow, bins, lines = np.full(3, 1.0), np.full((3, 3), 1.0), np.full((3, BINS), 1.0), np.full((3, BINS), 1.0)
+        ends, later = 4.0, 6.0
         before: tuple | None = None
         for conversation, role, text in turns:
             known = NAMES.get((role or "").lower())
             if known is not None:
                 bins[known, bin_of(text or "")] += 1
+                parts = (text or "").split("\n")
+                for line in parts:
+                    lines[known, bin_of(line)] += 1
+                ends, later = ends + 1, later + len(parts) - 1
                 if before is None or before[0] != conversation:
                     start[known] += 1
                 elif before[1] is not None:
                     follow[before[1], known] += 1
             before = conversation, known
         smooth = lambda x: np.log(0.97 * x / x.sum(-1, keepdims=True) + 0.03 / x.shape[-1])
-        return cls(smooth(start), smooth(follow), smooth(bins))
+        return cls(smooth(start), smooth(follow), smooth(bins), smooth(lines), later / (ends + later))
 
     def emissions(self, lines: Sequence[str], given: Sequence[int | None], begins: Sequence[bool | None]) -> np.ndarray:
         """Log likelihoods (lines x 6): states 0-2 begin a turn of a role, 3-5 go on with it."""
         out = np.zeros((len(lines), 6))
+        # where turns are labelled, one without a label is as rare as a misleading label
+        unlabelled = LABELLED if any(b is None and label_of(x) for x, b in zip(lines, begins, strict=True)) else 0.05
         for i, (line, role, begin) in enumerate(zip(lines, given, begins, strict=True)):
-            out[i] = np.tile(self.bins[:, bin_of(line)], 2)
+            out[i] = np.tile((self.lines if begin is None else self.bins)[:, bin_of(line)], 2)
             label = label_of(line) if begin is None else None
             for sure, chance in ((role, GIVEN), (label[0] if label else None, LABELLED)):
                 if sure is not None:
@@ -98,7 +111,7 @@ class Hmm:
                     out[i, :3] += shown
                     out[i, 3:] += np.log(chance) if label else shown
             if label is None and begin is None:
-                out[i, :3] += np.log(0.05)  # an unlabelled line seldom begins a turn
+                out[i, :3] += np.log(unlabelled)  # an unlabelled line seldom begins a turn
             if begin is not None:
                 out[i, 3 if begin else 0 : 6 if begin else 3] = -np.inf
         return out
@@ -167,7 +180,17 @@ def parse_transcript(text: str | None, model: Hmm) -> list[tuple[str, str]]:
             turns.append((state, [label[1] if label and label[0] == state else line]))
         else:
             turns[-1][1].append(line)
-    return [(ROLES[r], "\n".join(x).strip(" \t\r\n")) for r, x in turns]
+    return [(ROLES[r], _END.sub("", "\n".join(x)).strip(" \t\r\n")) for r, x in turns]
+
+
+def parse_transcripts(texts: DataFrame, model: Hmm, id_column: str = "conv_id", text_column: str = "text") -> DataFrame:
+    """id_column and turns, the roles and texts that each whole transcript shows; a role column is not read."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def turns(found: list) -> dict[str, list]:
+        return {"turns": [[{"role": r, "text": x} for r, x in parse_transcript(t, shared.value)] for t in found]}
+
+    return map_texts(texts, id_column, text_column, "turns array<struct<role:string,text:string>>", lambda: turns)
 
 
 def rendered(role: str, text: str | None) -> str:

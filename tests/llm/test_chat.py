@@ -47,6 +47,20 @@ def test_transcript(spark):
     assert len(chat.parse_transcript("x" * 100000, m)) == 1
 
 
+def test_roles_are_recovered_from_transcripts(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    truth = {}
+    for r in sorted(turns.collect(), key=lambda r: (r["conv_id"], r["turn"], r["text"] or "")):
+        truth.setdefault(r["conv_id"], []).append((r["role"], (r["text"] or "").strip(" \t\r\n")))
+    for show in (chat.rendered, lambda role, text: f"{role.capitalize()}: {text}\n"):
+        rows = [(c, "".join(show(*t) for t in x)) for c, x in truth.items()]
+        df = spark.createDataFrame([*rows, (None, None)], "conv_id long, text string").selectExpr("*", "'user' AS role")
+        got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.parse_transcripts(df, model(spark)).collect()}
+        assert got.pop(None) == [] and set(got) == set(truth)
+        assert sum(got[c] == x for c, x in truth.items()) >= 0.97 * len(truth)
+    assert chat.parse_transcripts(df.limit(0), model(spark)).count() == 0
+
+
 def test_parts_and_odd_rows(spark):
     random.seed(1)
     rows = [(1, t, None if random.random() < 0.3 else ("user", "assistant")[t % 2], f"turn {t}") for t in range(50)]
