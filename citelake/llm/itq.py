@@ -4,9 +4,13 @@
   directions are found, and a rotation of them is learned by turns of signs and orthogonal
   Procrustes steps, so that the sign bits of the rotated vector are balanced and lose little.
   CODES such rotations, from different starts, give a vector its code of CODES x dimension bits.
-* Multi-index Hamming tables: a code is cut into tables of about log2(n) bits. Codes within
-  RADIUS differ by at most RADIUS / tables bits in some table, so each vector is entered under its
-  keys up to one bit away and looked up under such keys too, which together spans two bits. A pair
+* Radius: codes are of centred vectors, and taking off a common mean widens angles. So the radius is
+  measured: partners at COSINE are planted beside the sample's vectors, in any direction and towards
+  other vectors of the sample, and the radius holds the share RECALL of each kind.
+* Multi-index Hamming tables: a code is cut into tables of about log2(n) bits, or of fewer where
+  the radius asks for more tables. Codes within the radius differ by at most radius / tables bits in
+  some table, MOST_FLIPS or fewer, so each vector is entered under its keys up to one bit away and
+  looked up under such keys too, which together spans two bits: no pair within it is missed. A pair
   belongs to the first table in which it meets and to one key there, so no pair is listed twice;
   its whole codes must be within RADIUS.
 * Rerank: cosine of the original vectors in double precision; a pair links at COSINE or more.
@@ -14,8 +18,8 @@
 Vectors that are equal component by component are one class from the start: it meets others
 once, and its copies link with each other and with all that it links with, by counts. Crowded table
 keys are cut into blocks of BLOCK entries, and every pair of blocks is a task of its own, so none
-is capped. What the index finds is checked exactly; recall is measured in the tests against brute
-force and must be 0.9 or more.
+is capped. What the index finds is checked exactly; recall is measured in the tests on planted pairs,
+with and without a common mean, and must be 0.9 or more.
 
 Defined cases: a null or zero vector, or one with null or non-finite components or none, links with
 nothing; vectors of another length than the commonest link with nothing but their copies; rows that
@@ -40,10 +44,11 @@ COSINE = 0.95
 SAMPLE = 4096
 CODES = 1
 TURNS = 30
-#: Bits in which the codes of a pair may differ, as a share of all; at COSINE the mean share is
-#: acos(COSINE) / pi = 0.101 for a random rotation.
+#: Share of the pairs at COSINE, the hardest that link, whose codes the radius must hold.
+RECALL = 0.98
+#: Share of the bits that the radius is where there is no sample to measure it on.
 RADIUS_SHARE = 0.17
-MOST_FLIPS = 2
+MOST_FLIPS = 2  # what split_masks can span
 BLOCK = 512
 
 
@@ -66,6 +71,21 @@ class Quantiser:
             parts.append(directions @ rotation)
         self.rotation = np.hstack(parts)
         self.bits = self.rotation.shape[1]
+        self.radius = self._radius(unit, rng) if len(sample) else int(RADIUS_SHARE * self.bits)
+
+    def _radius(self, unit: np.ndarray, rng: np.random.Generator) -> int:
+        """Bits in which the codes of RECALL of the planted pairs at COSINE differ at most."""
+        a = np.tile(unit, (-(-SAMPLE // len(unit)), 1))[:SAMPLE]
+        found = [0]
+        for towards in (rng.normal(size=a.shape), a[rng.permutation(len(a))]):
+            aside = towards - (towards * a).sum(1, keepdims=True) * a
+            size = np.linalg.norm(aside, axis=1)
+            some = size > 1e-6
+            if some.any():
+                b = COSINE * a[some] + np.sqrt(1 - COSINE**2) * aside[some] / size[some, None]
+                apart = (self.encode(a[some]) != self.encode(b)).sum(1)
+                found.append(int(np.quantile(apart, RECALL, method="higher")))
+        return max(found)
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """Codes as rows of bits (0 or 1)."""
@@ -76,12 +96,13 @@ class Quantiser:
 class Tables:
     """How codes are cut into tables, and which keys lie near a key."""
 
-    def __init__(self, bits: int, n: int):
+    def __init__(self, bits: int, n: int, radius: int | None = None):
         width = min(20, max(8, int(np.ceil(np.log2(max(2, n))))))
-        self.bits, self.radius = bits, int(RADIUS_SHARE * bits)
-        count = max(1, bits // width)
+        self.bits, self.radius = bits, int(RADIUS_SHARE * bits) if radius is None else radius
+        # with radius < count x (flips + 1), a pair within the radius is near in one table at least
+        count = min(bits, max(1, bits // width, self.radius // (MOST_FLIPS + 1) + 1))
         self.edges = np.linspace(0, bits, count + 1).astype(int)
-        self.flips = min(MOST_FLIPS, self.radius // count)
+        self.flips = self.radius // count
 
     def __len__(self) -> int:
         return len(self.edges) - 1
@@ -209,7 +230,7 @@ def near_duplicates(table: DataFrame) -> DataFrame:
     usual = classes.where(F.size("v") == size)
     drawn = usual.orderBy("id").limit(SAMPLE).select("v").collect()
     quantiser = Quantiser(np.array([r["v"] for r in drawn], dtype=np.float64).reshape(-1, size))
-    tables = Tables(quantiser.bits, n)
+    tables = Tables(quantiser.bits, n, quantiser.radius)
     pairs = candidates(usual, quantiser, tables)
     found = materialise(links(pairs, usual, size), "links")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -47,6 +47,38 @@ def test_pairs_are_listed_once_and_completely(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) and guaranteed <= set(pairs) <= want and len(want) > 1000
 
 
+def planted(mean, cosine, n=3000, size=64):
+    """Vectors with a common mean, and a partner of each at the cosine."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, size)) + mean
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+
+
+def test_recall_on_planted_pairs_and_wide_tables():
+    for mean in (0, 1, 2):
+        for cosine in (0.95, 0.97, 0.99):
+            x, y = planted(mean, cosine)
+            q = itq.Quantiser(x)
+            differ = q.encode(x) ^ q.encode(y)
+            for n in (len(x), 10**4, 10**6, 10**9):
+                t = itq.Tables(q.bits, n, q.radius)
+                assert t.radius < len(t) * (t.flips + 1) and t.flips <= itq.MOST_FLIPS
+                near = [differ[:, a:b].sum(1) <= t.flips for a, b in zip(t.edges[:-1], t.edges[1:], strict=True)]
+                assert (np.any(near, 0) & (differ.sum(1) <= t.radius)).mean() >= 0.95, (mean, cosine, n)
+
+
+def test_planted_pairs_are_found_with_a_common_mean(spark):
+    for mean in (0, 1):
+        x, y = planted(mean, 0.951, 400)
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r["component_id"] for r in itq.near_duplicates(df).collect()}
+        assert len(got) == 800 and np.mean([got[i] == got[i + 400] for i in range(400)]) >= 0.95
+
+
 def test_quantiser_learns_balanced_codes():
     x = np.random.default_rng(1).normal(size=(2000, 16)) * np.geomspace(1, 4, 16)
     share = itq.Quantiser(x).encode(x).mean(0)
