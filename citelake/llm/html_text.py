@@ -1,14 +1,14 @@
-"""HTML extraction by host suffix arrays.
+"""HTML extraction by markup and the repeated runs of a host.
 
 Each page is read once into blocks. Blocks in an article (or, without one, a main element) are
 protected; blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are noise; all others are open. The token streams of a host's open and noise blocks are
-concatenated (a separator ends each block), and the suffixes of the concatenation are sorted.
-Neighbours from different pages that agree on MIN_RUN tokens or more mark the tokens they share:
-a run that repeats over pages. The suffix array is cut after MIN_RUN tokens, which marks the same
-tokens, since every suffix inside a longer run is marked too; and it is sharded by those leading
-tokens, so that no host is gathered in one task. A shard needs no more than two pages of a suffix,
-so each task hands on two at most, and a run on a third of all pages stays small.
+concatenated (a separator ends each block), and every window of MIN_RUN tokens of it is hashed.
+Windows that different pages share mark their tokens: a run that repeats over pages. This marks what
+a suffix array of the host would, since every suffix inside a longer run begins a marked window;
+no such array is kept. Windows are sharded by their keys, so that no host is gathered in one task.
+A shard needs no more than two pages of a window, so each task hands on two at most, and a run on a
+third of all pages stays small.
 
 A page with protected text gives that text. Another page gives its open blocks without the marked
 tokens, that is, its unique runs; if nothing is left, it is a copy of another page rather than
