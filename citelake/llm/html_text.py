@@ -3,15 +3,15 @@
 Each page is read once into blocks. Blocks in an article (or, without one, a main element) are
 protected; blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are noise; all others are open. The token streams of a host's open and noise blocks are
-concatenated (a separator ends each block), and every window of MIN_RUN tokens of it is hashed.
+concatenated without breaks, so short repeated blocks in one order are one run, and every window of MIN_RUN tokens of it is hashed.
 Windows that different pages share mark their tokens: a run that repeats over pages. This marks what
 a suffix array of the host would, since every suffix inside a longer run begins a marked window;
 no such array is kept. Windows are sharded by their keys, so that no host is gathered in one task.
 A shard needs no more than two pages of a window, so each task hands on two at most, and a run on a
 third of all pages stays small.
 
-A page with protected text gives that text. Another page gives its open blocks without the marked
-tokens, that is, its unique runs; if nothing is left, it is a copy of another page rather than
+A page with protected text gives that text. Another page gives its open blocks without the runs
+inside them and without the blocks that runs cover whole, that is, its unique runs; if nothing is left, it is a copy of another page rather than
 boilerplate and gives its open blocks whole. Protected text isn't removed when it repeats: copies
 of an article are articles.
 
@@ -141,7 +141,7 @@ def host_of(url: str | None) -> str:
 
 
 def stream(page: list[tuple[int, str]]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Token hashes of the blocks that aren't protected, and (zone, first, last + 1) of each block."""
+    """Token hashes of the blocks that aren't protected, one after the other, and (zone, first, last + 1) of each block."""
     tokens: list[int] = []
     spans = []
     for zone, text in page:
@@ -149,16 +149,12 @@ def stream(page: list[tuple[int, str]]) -> tuple[np.ndarray, list[tuple[int, int
             first = len(tokens)
             tokens += [xxhash.xxh3_64_intdigest(w) for w in text.split(" ")]
             spans.append((zone, first, len(tokens)))
-            tokens.append(xxhash.xxh3_64_intdigest(f"\0{len(tokens)}"))  # the separator
     return np.array(tokens, dtype=np.uint64), spans
 
 
-def suffixes(tokens: np.ndarray, spans: list[tuple[int, int, int]], host: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the suffixes by host and first MIN_RUN tokens, and where they begin; none crosses a block."""
-    starts = [np.arange(a, b - MIN_RUN + 1) for _, a, b in spans if b - a >= MIN_RUN]
-    if not starts:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.concatenate(starts)
+def suffixes(tokens: np.ndarray, host: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the suffixes by host and first MIN_RUN tokens, and where they begin; they run on over the limits of blocks."""
+    at = np.arange(max(0, len(tokens) - MIN_RUN + 1))
     key = np.full(len(at), xxhash.xxh3_64_intdigest(host), dtype=np.uint64)
     for k in range(MIN_RUN):
         key = split_mix(key ^ tokens[at + k])
@@ -201,13 +197,22 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
 
 
 def unique_runs(texts: list[str], spans: list[list[int]], marks: list[int]) -> str:
-    """The open blocks without the marked tokens; whole, if nothing would be left."""
+    """The open blocks without the marked tokens; whole, if nothing would be left.
+
+    A block that runs cover to its last token goes; of another, only the runs inside it go, so that
+    a menu doesn't take along the first words of the text after it that other pages begin with too.
+    """
     covered: set[int] = set()
     for m in marks:
         covered.update(range(m, m + MIN_RUN))
     left = []
     for text, first in zip(texts, spans, strict=True):
-        words = [w for i, w in enumerate(text.split(" ")) if first + i not in covered]
+        words = text.split(" ")
+        last = first + len(words)
+        if covered.issuperset(range(first, last)):
+            continue
+        inside = {i for m in marks if first <= m <= last - MIN_RUN for i in range(m, m + MIN_RUN)}
+        words = [w for i, w in enumerate(words, first) if i not in inside]
         if words:
             left.append(" ".join(words))
     return "\n".join(left or texts)
@@ -227,7 +232,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = blocks(page)
                 kept = [t for z, t in found if z == PROTECTED]
                 tokens, spans = stream(found)
-                key, at = suffixes(tokens, spans, host_of(url))
+                key, at = suffixes(tokens, host_of(url))
                 keys.append(np.stack([key, at], 1).ravel())
                 texts.append("\n".join(kept) if kept else None)
                 own = [] if kept else [t for z, t in found if z == OPEN]

@@ -47,6 +47,15 @@ def test_repeated_runs_against_brute_force(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_short_blocks_in_one_order_are_one_run(spark):
+    menu = "".join(f"<li>Item {k} here</li>" for k in range(5))
+    pages = [(i, f"http://h/{i}", f"<body><ul>{menu}</ul><p>own {i} text {i}</p><div>Legal {i}</div><td>same foot</td></body>") for i in range(4)]
+    df = spark.createDataFrame([*pages, (9, "http://other/", f"<ul>{menu}</ul>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert all(got[i] == f"own {i} text {i}\nLegal {i}\nsame foot" for i in range(4))  # the foot is too short for a run
+    assert got[9] == "\n".join(f"Item {k} here" for k in range(5))
+
+
 def test_copies_keep_their_text(spark):
     body = "<p>" + " ".join(f"c{k}" for k in range(30)) + "</p>"
     df = spark.createDataFrame([(1, "http://h/1", body), (2, "http://h/2", body)], "page_id long, url string, html string")
