@@ -11,8 +11,9 @@ The trees are fitted on TRAINING_EXAMPLES generated, seeded examples of each lab
 and look-alikes such as part numbers, versions, sums and plain digits, in neutral and in telling
 contexts), so they never depend on the corpus. The model is a few KB and is broadcast.
 
-Kinds in their fixed order: email, ip, card, phone, then ssn, iban, ipv6. Spans count code points,
-ends exclusive. Every whole text is read once; nothing is shuffled.
+Kinds in their fixed order: email, ip, card, phone, then ssn, iban, ipv6. Added spans may have the
+kinds email and phone too, so the base spans are also given by themselves; only they are counted and
+digested by the query. Spans count code points, ends exclusive. Every whole text is read once; nothing is shuffled.
 
 Defined cases: a null text counts as empty (and redacts to null); an empty text has no spans;
 repeated rows give repeated rows; an empty table gives an empty table; columns other than those
@@ -21,6 +22,7 @@ named are ignored by pii_spans and kept by redact.
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from collections.abc import Callable, Iterator
@@ -52,7 +54,10 @@ _LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{2,63}){1,4}"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "ipv6": re.compile(r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![A-Za-z0-9:])"),
+    "ipv6": re.compile(
+        r"(?<![A-Za-z0-9:])(?:(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){1,7}:"
+        r"|:(?::[0-9A-Fa-f]{1,4}){1,7}|(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4})(?![A-Za-z0-9:])"
+    ),
 }
 #: Fixed cue words in the 40 characters before a candidate, by kind.
 CUES = {
@@ -77,6 +82,13 @@ def iban_checks(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def ipv6_parses(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The valid base spans by kind, then start; matches are leftmost and don't overlap."""
     out, free, at = [], 0, text.find("@")
@@ -117,7 +129,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(left) and left.isalnum()), float(bool(right) and right.isalnum()), float(left in {"#", "$", "€", "/", "="}) * bool(left),
         float(any(c in before for c in CUES.get(kind, ()))), float(any(c in before for c in CUES["not"])),
         float(area in {"000", "666"} or area >= "900") if kind == "ssn" else 0.0,
-        float(kind == "iban" and iban_checks(span)), float("dot" in span.lower()), len(set(span)) / len(span),
+        float((kind == "iban" and iban_checks(span)) or (kind == "ipv6" and ipv6_parses(span))), float("dot" in span.lower()), len(set(span)) / len(span),
     ]
 
 
@@ -135,19 +147,23 @@ def _examples(kind: str, wanted: int, rng: random.Random) -> tuple[list, list]:
         flat = f"DE{check if valid else (check + 7) % 97:02d}{body}"
         return " ".join(flat[i : i + 4] for i in range(0, len(flat), 4)) if rng.random() < 0.5 else flat
 
+    def compressed() -> str:
+        head = [rng.choice(["2001", "2001:db8", "2a02", "fe80", "fd00", f"{rng.randint(8192, 16383):x}"])] + [f"{rng.randint(0, 65535):x}" for _ in range(rng.randint(0, 2))]
+        return ":".join(head) + "::" + ":".join(f"{rng.choice([rng.randint(0, 255), rng.randint(0, 65535)]):x}" for _ in range(rng.randint(1, 4)))
+
     real = {
         "phone": lambda: rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(4)}"]),
         "email": lambda: f"{word()}.{word()} [at] {word(9)} [dot] {rng.choice(['com', 'org', 'net'])}" if rng.random() < 0.6 else f"{word()}(at){word(9)}.com",
         "ssn": lambda: f"{rng.randint(1, 665):03d}-{d(2)}-{d(4)}",
         "iban": lambda: iban(True),
-        "ipv6": lambda: ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8)),
+        "ipv6": lambda: ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8)) if rng.random() < 0.5 else compressed(),
     }[kind]
     fake = {
         "phone": lambda: rng.choice([f"{d(3)} {d(3)} {d(3)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(3)} {d(4)} {d(4)}", f"0{d(1)}/{d(3)}-{d(3)}", f"000-{d(3)}-0000"]),
         "email": lambda: f"{word()} (at) {word()} . {word()}",
         "ssn": lambda: f"{rng.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}",
         "iban": lambda: iban(False),
-        "ipv6": lambda: ":".join(d(2) for _ in range(rng.randint(4, 6))),
+        "ipv6": lambda: ":".join(d(2) for _ in range(rng.randint(4, 6))) if rng.random() < 0.7 else "::".join(rng.choice(["a", "be", "ad", "add", "face", "dead", "feed", "cafe"]) for _ in range(2)),
     }[kind]
     x, y = [], []
     for n in range(wanted * 2):
@@ -181,9 +197,13 @@ class Model:
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """Base spans and accepted additions, by kind, then start."""
+        return self.both(text)[1]
+
+    def both(self, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+        """The base spans alone, and with the accepted additions; each by kind, then start."""
         if not text:
-            return []
-        base = base_spans(text)
+            return [], []
+        base = alone = base_spans(text)
         loose = [c for c in candidates(text) if not any(s < c[2] and c[1] < e for _, s, e in base)]
         if loose:
             p = self.trees.predict(np.array([features(text, *c) for c in loose]))
@@ -192,7 +212,7 @@ class Model:
                 if not any(s < c[2] and c[1] < e for _, s, e in taken):
                     taken.append(c)
             base = base + taken
-        return sorted(base, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+        return alone, sorted(base, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -221,14 +241,19 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def pii_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id_column and pii_spans, the spans of each whole text."""
+    """id_column, pii_spans, the spans of each whole text, and base_spans, those of the base patterns."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def make() -> Callable[[list], dict[str, list]]:
         model = shared.value
-        return lambda texts: {"pii_spans": [[{"kind": k, "start": s, "end": e} for k, s, e in model.spans(t)] for t in texts]}
 
-    return map_texts(docs, id_column, text_column, f"pii_spans {SPANS}", make)
+        def spans(texts: list) -> dict[str, list]:
+            base, every = zip(*map(model.both, texts), strict=True) if texts else ((), ())
+            return {name: [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found] for name, found in (("pii_spans", every), ("base_spans", base))}
+
+        return spans
+
+    return map_texts(docs, id_column, text_column, f"pii_spans {SPANS}, base_spans {SPANS}", make)
 
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -248,10 +273,10 @@ def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(read_table(spark, sf_dir, "documents"))
-    spans = F.col("pii_spans")
+    spans, base = F.col("pii_spans"), F.col("base_spans")
     return found.select(
         "doc_id",
-        *(F.size(of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
-        F.sha2(joined(of_kind(spans, *BASE_KINDS)), 256).alias("base_sha256"),
+        *(F.size(of_kind(base, k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )

@@ -66,6 +66,26 @@ def test_redaction_and_table_cases(spark):
     assert pii.redacted("abcdef", [("email", 1, 4), ("phone", 2, 5)]) == "a[EMAIL]f"
 
 
+def test_added_spans_leave_the_base_alone(spark, tmp_path):
+    text = "call me on phone (212) 555-0187, ok or write to jane.doe [at] example [dot] com please, or to a@b.co"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = pii.query(spark, str(tmp_path)).first()
+    want = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(text))
+    assert (r["n_email"], r["n_phone"]) == (1, 0) and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert sorted(s.split(":")[0] for s in r["spans"].split(",")) == ["email", "email", "phone"]
+
+
+def test_compressed_addresses():
+    model = pii.trained()
+    found = lambda t: [(k, t[s:e]) for k, s, e in model.spans(t)]
+    for a in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3::8a2e:370:7334", "2001:db8:85a3:1234:5678:8a2e:370:7334"):
+        assert found(f"the host address {a} answers") == [("ipv6", a)]
+    for a in ("::1", "fe80::", "::8a2e:370:7334"):
+        assert ("ipv6", 2, 2 + len(a)) in pii.candidates(f"x {a} y")
+    for clean in ("in dead::beef we", "at 11:22:33 on", "std::vector of", "ratio 11:22:33:44", "a :: b"):
+        assert found(clean) == []
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
