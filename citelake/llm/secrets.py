@@ -36,7 +36,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so its first 24 dec
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[^-]|-(?!----(?:BEGIN|END) ))*+)-----END \1-----")  # the body holds no other BEGIN or END
+_ESCAPED = re.compile(r"\\+[nr]")  # line ends as JSON strings have them
+#: Header lines of a traditional encrypted key; its cipher works on blocks of 8 or 16 bytes.
+_DEK = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,\s*[0-9A-Fa-f]+\s")
 #: Signature bytes of each signing algorithm; None stands for an RSA modulus, 128 bytes or more.
 SIGNATURE_BYTES = {
     "none": 0,
@@ -145,9 +148,10 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         found += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]  # header lines of encrypted keys
+            inside = _ESCAPED.sub("\n", m[2])
+            lines = [x for x in inside.split("\n") if ":" not in x]  # header lines of encrypted keys
             body = decode_base64("".join("".join(lines).split()))
-            if key_encoding(body) or (body and "ENCRYPTED" in m[2]):
+            if key_encoding(body) or (body and len(body) % 8 == 0 and _DEK.search(inside)):
                 found.append(("pem", *m.span()))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

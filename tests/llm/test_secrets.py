@@ -54,6 +54,25 @@ def test_structures_are_confirmed():
     assert not kinds("see " + ".".join([b64(b'{"typ":"JWT"}'), b64(b'{"sub":"1"}'), b64(b"s" * 32)]))
 
 
+def pem_of(label, body, headers=""):
+    return f"-----BEGIN {label}-----\n{headers}" + "\n".join(body[i : i + 64] for i in range(0, len(body), 64)) + f"\n-----END {label}-----"
+
+
+def test_encrypted_and_escaped_pem():
+    cipher = base64.b64encode(bytes(range(160))).decode()
+    pem = lambda *a: [t for k, t in kinds(f"é {pem_of(*a)} end") if k == "pem"]
+    for label, dek in (("RSA PRIVATE KEY", "AES-128-CBC"), ("EC PRIVATE KEY", "DES-EDE3-CBC"), ("DSA PRIVATE KEY", "AES-256-CBC")):
+        headers = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: {dek},{'0A' * 16}\n\n"
+        assert pem(label, cipher, headers) == [pem_of(label, cipher, headers)]
+    assert not pem("RSA PRIVATE KEY", cipher) and not pem("RSA PRIVATE KEY", cipher, "Proc-Type: 4,ENCRYPTED\n\n")
+    assert not pem("RSA PRIVATE KEY", base64.b64encode(bytes(range(157))).decode(), headers)  # no whole blocks
+    plain = pem_of("PRIVATE KEY", base64.b64encode(PKCS8).decode())
+    for text in (json.dumps({"private_key": plain + "\n"}), json.dumps({"k": json.dumps(plain)}), json.dumps(plain.replace("\n", "\r\n"))):
+        assert [t for k, t in kinds(text) if k == "pem"] == [text[text.index("-----BEGIN") : text.rindex("-----") + 5]]
+    assert [t for k, t in kinds("-----BEGIN PRIVATE KEY-----\n" + plain) if k == "pem"] == [plain]  # a BEGIN without an END
+    assert secrets.scan("-----BEGIN PRIVATE KEY-----\n" * 20000) == []
+
+
 def test_table_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "token = abcdefgh", "x"), (3, "token = abcdefgh", "x"), (None, "z" * 200000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans string")
