@@ -46,23 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_written: list[list[str]] = []  # folders of materialise() in each open scratch(), innermost last
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citelake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that materialise() wrote inside; none may be read later."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            _remove(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table of materialise() that no later step reads."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
-        if "/citelake/" not in folder:
-            return
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if "/citelake/" in folder:
+            _remove(df.sparkSession, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def task_count(df: DataFrame, per_partition: int = 1) -> int:
@@ -113,6 +131,10 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, schema: str, ma
 # -- connected components ------------------------------------------------------------------
 
 
+#: Edges that one task can finish in bounded memory (some 100 MB); beyond it, star steps run over all tasks.
+ONE_TASK = 500_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one task as a forest of stars, which has the same components."""
     parent: dict[int, int] = {}
@@ -144,13 +166,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps on a distributed edge table. Each step takes the
     smallest neighbour by a grouped minimum and joins it back, so a hub is never gathered in one
-    row; the driver sees two numbers a step. Each task first replaces its edges by stars. Edges
+    row; the driver sees two numbers a step. Each task first replaces its edges by stars; a table of
+    ONE_TASK edges or fewer, by its count, is finished by one task in the same way. Edges
     with a null end and loops are ignored; an empty table gives an empty table.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").mapInArrow(_forest, "a long, b long")
     current = materialise(edges.distinct(), "edges")
     state = _state(current)
+    if state[0] <= ONE_TASK:
+        return _roots(current.coalesce(1).mapInArrow(_forest, "a long, b long"))
     while state[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -163,7 +188,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = _state(current)
         if state == before:
             break
-    low = current.groupBy("a").agg(F.min("b").alias("component"))
+    return _roots(current)
+
+
+def _roots(stars: DataFrame) -> DataFrame:
+    low = stars.groupBy("a").agg(F.min("b").alias("component"))
     return low.select(F.col("a").alias("node"), "component").unionByName(low.select(F.col("component").alias("node"), "component").distinct())
 
 

@@ -19,9 +19,13 @@ come from PartEnum signatures:
 So no link is lost. Signatures travel as binary blocks by hash range, 12 bytes each, and sets that
 share one form a list; equal lists count once. Within lists, pairs are ruled out exactly by size
 and by parity sketches (their distance never exceeds the sets' difference). What is left is checked
-in rounds: for each set the closest few of other components, then, in lists where that left some
-out, more, then all, so a large group of near copies is tied together by few checks, and lists of
-any size are handled in blocks of BLOCK sets. Sets are identified by 64-bit hashes, so exact copies are one from the start.
+in ROUNDS. First each set asks, in one of its lists, for the closest two of its block and of the
+list's first block, which ties a large group of near copies together by few checks. From then on a
+list's largest component stands for its members: only sets outside it ask, for the closest few of
+other components and last for all of them. Pairs thus grow with the sets that are still apart, not
+with the square of a group. Lists of any size are dealt in cells of BLOCK by BLOCK sets. Sets are
+identified by 64-bit hashes, so exact copies are one from the start. Texts are shingled once, and those of
+candidates once more a round.
 
 Defined cases: a null text counts as empty; without words a set is empty and the document alone;
 with fewer words than SHINGLE the whole sequence is one shingle; a null id never becomes a
@@ -35,10 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from citelake.llm.common import connected_components, discard, materialise, read_table, slices, split_mix, task_count
 
@@ -48,10 +53,11 @@ SMALL = 16
 WIDEST = 1 << 16
 ELEMENT_BYTES = 6
 BLOCK = 1000
-ROUNDS = (2, 16, None)  # candidates of a set in each round; None: all
+ROUNDS = (2, 4, None)  # candidates of a set that asks, in each round; None: all
 FLUSH = 500_000  # signatures held by a task before they are handed on
 FILTER_BITS = 1 << 23  # of the fixed-size filter that spares shingling texts without candidates
 LISTS_AT_ONCE = 500
+MOST_SEEN = 1_000_000  # sets that a task remembers not to sign again
 WORDS_CACHED = 150_000
 _ONE = np.uint64(1)
 
@@ -169,36 +175,23 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 # -- distributed steps --------------------------------------------------------------------------
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(_id, _hash of the text, set id or null, size, sketch) of every row."""
-    kind = docs.schema["_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in slices(batches):
-            ids, sizes, sketches = [], [], []
-            for data in batch.column(2).to_pylist():
-                h = shingles(data, words)
-                ids.append(set_id(h) if len(h) else None)
-                sizes.append(len(h))
-                sketches.append(sketch(h) if len(h) else None)
-            made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["_id", "_hash", "gid", "n", "sketch"])
+def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, lists) of docs (_id, _hash, _data), from one reading of the texts.
 
-    fields = [StructField("_id", kind), *(StructField(c, LongType()) for c in ("_hash", "gid", "n")), StructField("sketch", BinaryType())]
-    return docs.mapInArrow(run, StructType(fields))
-
-
-def _lists(docs: DataFrame) -> DataFrame:
-    """(lid, members): the sets that share a signature, two or more; equal lists once."""
+    rows: _id, _hash of the text, gid (set id or null), n (set size) and, at least once for each
+    set, its sketch. lists: lid, m and part, up to BLOCK of the m sets that share a signature.
+    """
     tasks = task_count(docs)
     bits = max(6, (4 * tasks - 1).bit_length())
+    kind = docs.schema["_id"].dataType
+    row = [StructField("_id", kind), *(StructField(c, LongType()) for c in ("_hash", "gid", "n")), StructField("sketch", BinaryType())]
+    sent = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, owners, counts, n = WordHashes(), [], [], [], 0
         seen: set[int] = set()
 
-        def flush() -> pa.RecordBatch:
+        def flush(like: pa.RecordBatch) -> pa.RecordBatch:
             s, g = np.concatenate(held), np.repeat(np.array(owners, dtype=np.int64), counts)
             bucket = (s >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -206,48 +199,70 @@ def _lists(docs: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(cuts[1:], len(bucket))
             blocks = [s[a:b].tobytes() + g[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+            empty = [pa.nulls(len(cuts), like.schema.field(0).type), *(pa.nulls(len(cuts), pa.int64()) for _ in range(3)), pa.nulls(len(cuts), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blocks, pa.binary()), *empty], names=names)
 
+        last = None
         for batch in slices(batches):
+            last, ids, sizes, sketches = batch, [], [], []
             for data in batch.column(2).to_pylist():
                 h = shingles(data, words)
-                if not len(h) or (g := set_id(h)) in seen:
+                g = set_id(h) if len(h) else None
+                ids.append(g)
+                sizes.append(len(h))
+                if g is None or g in seen:
+                    sketches.append(None)
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > MOST_SEEN:
                     seen.clear()
                 seen.add(g)
+                sketches.append(sketch(h))
                 own = signatures(h)
                 held.append(own)
                 owners.append(g)
                 counts.append(len(own))
                 n += len(own)
-                if n > FLUSH:
-                    yield flush()
-                    held, owners, counts, n = [], [], [], 0
+            spread = [(x ^ (g or 0)) & ((1 << bits) - 1) for x, g in zip(batch.column(1).to_pylist(), ids, strict=True)]
+            made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.nulls(len(ids), pa.binary()), batch.column(0), batch.column(1), *made], names=names)
+            if n > FLUSH:
+                yield flush(batch)
+                held, owners, counts, n = [], [], [], 0
         if n:
-            yield flush()
+            yield flush(last)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets arrive in order; one is held at a time."""
-        at, parts = None, []
+        """Buckets arrive in order; one is held at a time. Rows pass through."""
+        at, parts, like = None, [], None
         for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            whole = batch.filter(pc.is_null(batch.column(1)))
+            like = batch.schema.field(2).type
+            if whole.num_rows:
+                nothing = [pa.nulls(whole.num_rows, pa.int64()), pa.nulls(whole.num_rows, pa.int64()), pa.nulls(whole.num_rows, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*nothing, *whole.columns[2:]], names=out_names)
+            blocks = batch.filter(pc.is_valid(batch.column(1)))
+            for bucket, block in zip(blocks.column(0).to_pylist(), blocks.column(1).to_pylist(), strict=True):
                 if bucket != at:
                     if parts:
-                        yield _shared(parts)
+                        yield from _shared(parts, like, out_names)
                     at, parts = bucket, []
                 parts.append(block)
         if parts:
-            yield _shared(parts)
+            yield from _shared(parts, like, out_names)
 
-    blocks = docs.mapInArrow(sign, "bucket int, block binary")
-    dealt = blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    lists = dealt.mapInArrow(group, "lid long, members array<long>")
-    return lists.groupBy("lid").agg(F.first("members").alias("members"))
+    names = [*sent.names, *(f.name for f in row)]
+    out_names = ["lid", "m", "members", *(f.name for f in row)]
+    first = StructType([StructField("bucket", IntegerType()), StructField("block", BinaryType()), *row])
+    second = StructType([StructField("lid", LongType()), StructField("m", LongType()), StructField("members", ArrayType(LongType())), *row])
+    dealt = docs.mapInArrow(sign, first).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    both = materialise(dealt.mapInArrow(group, second), "signed")
+    # lists that are equal under several signatures count once
+    lists = both.where("lid IS NOT NULL").groupBy("lid", F.element_at("members", 1).alias("part")).agg(F.first("m").alias("m"), F.first("members").alias("members"))
+    return both.where("lid IS NULL").select(*(f.name for f in row)), lists.drop("part")
 
 
-def _shared(blocks: list[bytes]) -> pa.RecordBatch:
-    """The distinct lists of sets that share a signature, in one bucket."""
+def _shared(blocks: list[bytes], like: pa.DataType, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The distinct lists of sets that share a signature, in one bucket; BLOCK sets a row."""
     sizes = [len(b) // 12 for b in blocks]
     s = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(blocks, sizes, strict=True)])
     g = np.concatenate([np.frombuffer(b, np.int64, n, 4 * n) for b, n in zip(blocks, sizes, strict=True)])
@@ -269,22 +284,30 @@ def _shared(blocks: list[bytes]) -> pa.RecordBatch:
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
         if b - a > 2:
             found[g[a:b].tobytes()] = g[a:b]
-    lids = [int(np.uint64(xxhash.xxh3_64_intdigest(k)).view(np.int64)) for k in found]
-    return pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.int64()))], names=["lid", "members"])
+    rows = [(int(np.uint64(xxhash.xxh3_64_intdigest(k)).view(np.int64)), v) for k, v in found.items()]
+    rows = [(lid, len(v), v[at : at + BLOCK].tolist()) for lid, v in rows for at in range(0, len(v), BLOCK)]
+    for at in range(0, len(rows), LISTS_AT_ONCE):
+        some = rows[at : at + LISTS_AT_ONCE]
+        made = [pa.array([r[k] for r in some], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+        empty = [pa.nulls(len(some), like), *(pa.nulls(len(some), pa.int64()) for _ in range(3)), pa.nulls(len(some), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*made, *empty], names=names)
 
 
 def _spot(*columns: str) -> F.Column:
     return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
-def _filter(spots: DataFrame) -> np.ndarray:
-    """A bit for every spot, FILTER_BITS in all; at most FILTER_BITS / 8 bytes reach the driver."""
-    at = F.col("spot") + 1  # Spark's bitmap functions count from 1
-    rows = spots.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in rows:
-        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
-    return out
+def _filter(spots: DataFrame) -> DataFrame:
+    """(word, bits): a bit for every spot. At most FILTER_BITS / 64 rows, so it may be broadcast."""
+    at = F.col("spot")
+    return spots.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS INT))")).alias("bits"))
+
+
+def _hits(docs: DataFrame, table: DataFrame, spot: F.Column) -> DataFrame:
+    """docs with _hit: whether the filter has the row's spot. Nothing is shuffled."""
+    marked = docs.withColumn("_spot", spot).withColumn("_word", F.shiftright("_spot", 6))
+    joined = marked.join(F.broadcast(table), F.col("_word") == F.col("word"), "left")
+    return joined.withColumn("_hit", F.coalesce(F.expr("getbit(bits, cast(_spot & 63 AS INT)) = 1"), F.lit(False))).drop("_spot", "_word", "word", "bits")
 
 
 def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -294,81 +317,107 @@ def elements_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFram
     wanted. Texts aren't shuffled. elements holds the sorted hashes' upper ELEMENT_BYTES bytes.
     """
     chosen = rows.where("gid IS NOT NULL").groupBy("gid").agg(F.min(F.struct("_id", "_hash")).alias("r")).join(wanted, "gid")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(chosen.select(_spot("r._id", "r._hash").alias("spot"))))
+    hit = _hits(docs, _filter(chosen.select(_spot("r._id", "r._hash").alias("spot"))), _spot("_id", "_hash")).where("_hit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
         for batch in slices(batches):
-            spots = batch.column(0).to_numpy()
-            hit = (shared.value[spots // 8] >> (spots % 8).astype(np.uint8)) & 1
             found = []
-            for i in np.flatnonzero(hit).tolist():
-                h = shingles(batch.column(1)[i].as_py(), words)
+            for data in batch.column(0).to_pylist():
+                h = shingles(data, words)
                 if len(h) and (g := set_id(h)) not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > MOST_SEEN:
                         seen.clear()
                     seen.add(g)
                     found.append((g, packed(h)))
             columns = list(zip(*found, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["gid", "elements"])
 
-    return docs.select(_spot("_id", "_hash").alias("spot"), "_data").mapInArrow(run, "gid long, elements binary")
+    return hit.select("_data").mapInArrow(run, "gid long, elements binary").dropDuplicates(["gid"])
+
+
+def _dealt_first(lists: DataFrame, info: DataFrame) -> DataFrame:
+    """Cells of the first round: blocks of a list, each with the list's first block beside it."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    each = lists.withColumn("blocks", blocks).select("lid", "blocks", F.explode("members").alias("gid"))
+    by_set = each.groupBy("gid").agg(F.collect_list(F.struct("lid", "blocks")).alias("xs"))
+    rows = by_set.join(info, "gid").withColumn("home", F.array_min("xs")["lid"])  # at most a list for each signature of the set
+    rows = rows.select("gid", F.col("gid").alias("c"), "n", "sketch", "home", F.inline("xs"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+    cells = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("cells", cells).withColumn("i", F.lit(0)).select("*", F.explode("cells").alias("j"))
+    asks = (F.col("lid") == F.col("home")) & (F.col("own") == F.col("j"))
+    return rows.select("lid", "i", "j", F.struct("gid", "c", "n", asks.alias("asks"), F.lit(True).alias("asked"), (F.col("own") == 0).alias("mark"), "sketch").alias("x"))
+
+
+def _dealt_later(lists: DataFrame, info: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cells of a later round: the sets outside their list's largest component against all of it.
+
+    Lists of one component are done. Of a list with m sets, s of them asking, a set is in s / BLOCK
+    cells and one that asks in m / BLOCK more, so a large component costs a row a set.
+    """
+    rows = lists.select("lid", "m", F.explode("members").alias("gid")).join(labels.select(F.col("node").alias("gid"), "component"), "gid", "left")
+    rows = rows.withColumn("c", F.coalesce("component", "gid")).drop("component")
+    counts = rows.groupBy("lid", "c").agg(F.count("*").alias("k"))
+    tops = counts.groupBy("lid").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).where("top.k < all")
+    tops = tops.select("lid", F.col("top.c").alias("top"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("across"))
+    rows = rows.join(tops, "lid").join(info, "gid").withColumn("stray", F.col("c") != F.col("top")).withColumn("down", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = rows.withColumn("i0", F.pmod(F.xxhash64("gid"), F.col("across")).cast("int")).withColumn("j0", F.pmod(F.xxhash64("gid"), F.col("down")).cast("int"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda i: F.struct(i.alias("i"), F.col("j0").alias("j")))
+    as_asker = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda j: F.struct(F.col("i0").alias("i"), j.alias("j")))
+    cells = F.when(F.col("stray"), F.array_union(as_member, as_asker)).otherwise(as_member)
+    rows = rows.withColumn("cells", cells).select("*", F.inline("cells"))
+    asks, asked = F.col("stray") & (F.col("i") == F.col("i0")), F.col("j") == F.col("j0")
+    return rows.select("lid", "i", "j", F.struct("gid", "c", "n", asks.alias("asks"), asked.alias("asked"), F.col("stray").alias("mark"), "sketch").alias("x"))
 
 
 def candidate_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame | None, few: int | None) -> DataFrame:
-    """(a, b): pairs of a list in different components that size and sketch allow.
+    """(a, b): pairs of a list in different components that size and sketch allow; see ROUNDS.
 
-    few: at most so many for each set and block, the closest by sketch; None for all of them. In
-    the first round (no labels yet) a set asks in one of its lists only. A row (list, null) names a
-    list in which pairs were left out.
+    In a later round, a row (list, null) names a list in which `few` left pairs out.
     """
-    known = info.select("gid", "n", "sketch")
-    known = known.withColumn("c", F.col("gid")) if labels is None else known.join(labels.select(F.col("node").alias("gid"), "component"), "gid", "left").select("gid", "n", "sketch", F.coalesce("component", "gid").alias("c"))
-    blocks = F.ceil(F.size("members") / BLOCK).cast("int")
-    rows = lists.select("lid", blocks.alias("blocks"), F.explode("members").alias("gid"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-    if labels is None:
-        known = known.join(rows.groupBy("gid").agg(F.min("lid").alias("home")), "gid")
-        asks = (F.col("lid") == F.col("home")).cast("int")
-    else:
-        asks = F.lit(1)
-    rows = rows.join(known, "gid").withColumn("asks", asks).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    item = F.struct("gid", "c", "n", "own", "asks", "sketch")
-    grouped = rows.select("lid", *pair, item.alias("x")).groupBy("lid", "i", "j").agg(F.collect_list("x").alias("xs"))
+    dealt = _dealt_first(lists, info) if labels is None else _dealt_later(lists, info, labels)
+    grouped = dealt.groupBy("lid", "i", "j").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+    first = labels is None
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, LISTS_AT_ONCE):
-                pairs = _choose_in(batch.slice(at, LISTS_AT_ONCE), few)
+                pairs = _choose_in(batch.slice(at, LISTS_AT_ONCE), few, first)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return grouped.select("lid", "i", "j", "xs").mapInArrow(choose, "a long, b long").distinct()
+    return grouped.select("lid", "j", "xs").mapInArrow(choose, "a long, b long").distinct()
 
 
-def _choose_in(batch: pa.RecordBatch, few: int | None) -> list[tuple[int, int | None]]:
+def _choose_in(batch: pa.RecordBatch, few: int | None, first: bool) -> list[tuple[int, int | None]]:
     out: set[tuple[int, int]] = set()
-    more = set()
-    xs = batch.column(3)
+    more: set[int] = set()
+    xs = batch.column(2)
     flat, offsets = xs.flatten(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
-    g, c, n, own, asks = (flat.field(k).to_numpy() for k in range(5))
-    sketches = flat.field(5).to_pylist()
-    apart = (batch.column(1).to_numpy() != batch.column(2).to_numpy()).tolist()
-    for lid, split, lo, hi in zip(batch.column(0).to_pylist(), apart, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        if hi - lo >= 2 and (c[lo:hi] != c[lo]).any() and _choose(g[lo:hi], c[lo:hi], n[lo:hi], own[lo:hi] if split else None, asks[lo:hi], sketches[lo:hi], few, out):
+    g, c, n = (flat.field(k).to_numpy() for k in range(3))
+    asks, asked, mark = (flat.field(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+    sketches = flat.field(6).to_pylist()
+    for lid, j, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        own = slice(lo, hi)
+        anchors = mark[own] if first and j else None
+        if _choose(g[own], c[own], n[own], asks[own] | (first and hi - lo == 2), asked[own], mark[own] if few is None else None, anchors, sketches[lo:hi], few, out) and not first:
             more.add(lid)
     return [*sorted(out), *((lid, None) for lid in more)]
 
 
-def _choose(g, c, n, own, asks, sketches, few, out: set[tuple[int, int]]) -> bool:
-    """Adds the allowed pairs of one block to out; whether some were left out.
+def _choose(g, c, n, asks, asked, stray, anchors, sketches, few, out: set[tuple[int, int]]) -> bool:
+    """Adds the allowed pairs of one cell to out: of each set that asks, with the closest `few` asked.
 
-    Row by row over sets sorted by size, so memory is linear in the block. A partner is as wide as
-    the set or twice as wide; each width has a matrix that holds its own rows and the next, folded.
+    Returns whether some were left out.
+
+    Row by row over sets sorted by size, so memory is linear in the cell. A partner is as wide as
+    the set, or half or twice as wide; each width has a matrix of its own rows and the next, folded.
+    Where all pairs are wanted, one of two strays meets in two cells and is taken in one. The
+    closest of the anchors is taken besides.
     """
     order = np.argsort(n, kind="stable")
-    g, c, n, asks = g[order], c[order], n[order], asks[order]
-    own = own[order] if own is not None else None
+    g, c, n, asks, asked = g[order], c[order], n[order], asks[order], asked[order]
+    stray, anchors = (x[order] if x is not None else None for x in (stray, anchors))
     sketches = [sketches[k] for k in order]
     last = np.searchsorted(n, n * 100 // PERCENT, side="right")
     width = np.array([len(x) for x in sketches])
@@ -380,25 +429,29 @@ def _choose(g, c, n, own, asks, sketches, few, out: set[tuple[int, int]]) -> boo
             rows = np.vstack([rows, folded(np.frombuffer(b"".join(sketches[mid:hi]), np.uint64).reshape(hi - mid, -1))])
         by_width[w] = lo, rows
     more = False
-    for i in range(len(g) - 1):
-        lo, hi = i + 1, int(last[i])
-        if lo >= hi:
-            continue
-        right = c[lo:hi] != c[i]
-        if own is not None:
-            right &= own[lo:hi] != own[i]
+    for i in np.flatnonzero(asks).tolist():
+        lo, hi = int(np.searchsorted(last, i, side="right")), int(last[i])
+        right = asked[lo:hi] & (c[lo:hi] != c[i])
+        if stray is not None:
+            right &= ~stray[lo:hi] | (g[lo:hi] > g[i])
         at = np.flatnonzero(right) + lo
         if not len(at):
             continue
-        base, rows = by_width[int(width[i])]
-        apart = np.bitwise_count(rows[at - base] ^ rows[i - base]).sum(1, dtype=np.int64)
+        w = int(width[i])
+        narrow = width[at] < w
+        apart = np.zeros(len(at), dtype=np.int64)
+        for part, of in ((narrow, w // 2), (~narrow, w)):
+            if part.any():
+                base, rows = by_width[of]
+                apart[part] = np.bitwise_count(rows[at[part] - base] ^ (rows[i - base])).sum(1, dtype=np.int64)
         allowed = apart * (100 + PERCENT) <= (100 - PERCENT) * (n[at] + n[i])
         at, apart = at[allowed], apart[allowed]
-        if not asks[i] and len(g) > 2:
-            more |= len(at) > 0
-            continue
         if few is not None and len(at) > few:
-            at, more = at[np.argsort(apart, kind="stable")[:few]], True
+            more, near = True, np.argsort(apart, kind="stable")
+            taken = near[:few]
+            if anchors is not None and (far := near[few:][anchors[at[near[few:]]]]).size and not anchors[at[taken]].any():
+                taken = np.append(taken, far[0])
+            at = at[taken]
         for j in at.tolist():
             out.add((int(min(g[i], g[j])), int(max(g[i], g[j]))))
     return more
@@ -422,29 +475,30 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id_column, text_hash, n_shingles, set_id, component_id) for every row of docs."""
     docs = docs.select(docs[id_column].alias("_id"), F.xxhash64(docs[text_column].cast("string")).alias("_hash"), docs[text_column].cast("string").cast("binary").alias("_data"))
-    rows = materialise(_sets(docs), "sets")
-    lists = materialise(_lists(docs), "lists")
-    shared = lists.select(F.explode("members").alias("gid")).distinct()
-    known = rows.where("gid IS NOT NULL").groupBy("gid").agg(F.first(F.struct("n", "sketch")).alias("s"))
-    info = materialise(known.join(shared, "gid").select("gid", "s.*"), "info")
-    checked: DataFrame | None = None
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    rows, lists = _signed(docs)
+    lists = materialise(lists, "lists")
+    listed = lists.select(F.explode("members").alias("gid")).distinct()
+    known = rows.where("sketch IS NOT NULL").groupBy("gid").agg(F.first(F.struct("n", "sketch")).alias("s"))
+    info = materialise(known.join(listed, "gid").select("gid", "s.*"), "info")
+    edges: DataFrame | None = None
     labels: DataFrame | None = None
+    spent = [info]
     for few in ROUNDS:
-        found = materialise(candidate_pairs(lists, info, labels, few), "pairs")
-        pairs = found.where("b IS NOT NULL")
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        checked = pairs if checked is None else checked.unionByName(pairs)
+        chosen = materialise(candidate_pairs(lists, info, labels, few), "pairs")
+        pairs = chosen.where("b IS NOT NULL")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
         sets = materialise(elements_of(docs, rows, wanted), "elements")
-        links = links.unionByName(materialise(verify(pairs, sets), "links"))
-        discard(sets)
-        labels = materialise(connected_components(links), "labels")
-        unfinished = found.where("b IS NULL").select(F.col("a").alias("lid"))
+        found = verify(pairs, sets)
+        edges = materialise(found if edges is None else found.unionByName(edges), "links")
+        labels = materialise(connected_components(edges), "labels")
+        spent += [chosen, sets, edges, labels]
+        # two sets of a list have met in the first round, and all that may link where a later one left none out
+        unfinished = lists.where("m > 2") if few == ROUNDS[0] else lists.join(chosen.where("b IS NULL").select(F.col("a").alias("lid")), "lid", "left_semi")
         if unfinished.isEmpty():
             break
-        lists = lists.join(unfinished, "lid", "left_semi")
+        lists = unfinished
+    for table in spent[:-1]:
+        discard(table)
     return _named(rows, labels).withColumnRenamed("_id", id_column)
 
 
@@ -464,34 +518,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A document without words is a component of its own, but its copies under one id count once.
     A filter of fixed size passes most documents that stay without a join; the others are joined to
     the keys that go, and kept documents that occur more than once under one id and text are reduced
-    to one.
+    to one. A doc_id that occurs with several texts counts as several documents.
     """
     found = components(docs)
     group = F.when(F.col("set_id").isNull(), F.struct(F.lit(1).alias("k"), F.xxhash64("doc_id").alias("g"))).otherwise(F.struct(F.lit(0).alias("k"), F.coalesce("component_id", "set_id").alias("g")))
     keys = found.withColumn("_group", group).groupBy("_group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     keys = materialise(keys.withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))), "keys")
-    best = materialise(keys.groupBy("_group").agg(F.min("_rank").alias("_best")), "best")  # so a large group can be split
-    judged = keys.join(best, "_group").withColumn("_kept", F.col("_rank") == F.col("_best"))
-    names = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")]
-    gone = materialise(judged.where("NOT _kept").select(*names), "gone")
-    again = materialise(judged.where("_kept AND n > 1").select(*names), "again")
-    every = gone.unionByName(again)
-    words = _filter(every.select(_spot("_id", "_th").alias("spot"))).view(np.int64).tolist()
-    table = F.from_json(F.lit(str(words)), "array<bigint>")  # FILTER_BITS, whatever the size of docs
+    best = keys.groupBy("_group").agg(F.min("_rank").alias("_best"))
+    judged = keys.join(best, "_group").withColumn("_kept", F.col("_rank") == F.col("_best")).where("NOT _kept OR n > 1")
+    odd = materialise(judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "_kept"), "odd")
     marked = docs.withColumn("_text_hash", F.xxhash64(docs["text"].cast("string")))
-    spot = _spot("doc_id", "_text_hash")
-    marked = marked.withColumn("_hit", _bit(table, spot))
+    marked = _hits(marked, _filter(odd.select(_spot("_id", "_th").alias("spot"))), _spot("doc_id", "_text_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))
     sure = marked.where("NOT _hit").select(*docs.columns)
-    once = marked.where("_hit").join(every, same, "left_anti").select(*docs.columns)
-    repeated = marked.where("_hit").join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    once = marked.where("_hit").join(odd, same, "left_anti").select(*docs.columns)
+    repeated = marked.where("_hit").join(odd.where("_kept"), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
     return sure.unionByName(once).unionByName(repeated)
 
 
-def _bit(table: F.Column, spot: F.Column) -> F.Column:
-    word = F.element_at(table, (F.floor(spot / 64) + 1).cast("int"))
-    return F.getbit(word, (spot % 64).cast("int")) == 1
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
