@@ -2,15 +2,17 @@
 
 Patterns propose candidates; those that claim an encoding are decoded and parsed before they are
 reported. Base64 and hex runs must decode to a private key whose nested lengths fit exactly (DER
-of PKCS#1, PKCS#8 or SEC1, or the OpenSSH container), a PEM block must hold such a key or a
-well-formed encrypted one, and a signed token must have a JSON header that names an algorithm, a
-JSON payload and a signature of the algorithm's length.
+of PKCS#1, PKCS#8 or SEC1, or the OpenSSH container); base64 wrapped over lines is joined first. A
+PEM block must hold such a key, or the headers of a traditional encrypted one (DEK-Info) before whole
+cipher blocks, whose content can't be parsed further. A signed token must have a JSON header that
+names an algorithm, a JSON payload and a signature of the algorithm's length.
 
 Kinds, in the order of equal starts: assign, access, hex (plain patterns), then jwt, pem, der
 (confirmed). Spans count code points, ends exclusive. Every whole text is scanned, by one pass of
-each pattern; nothing is shuffled.
+each pattern, in time linear in its length; nothing is shuffled.
 
-Defined cases: a null text counts as empty; an empty text has no spans; repeated rows give
+Defined cases: a null text counts as empty; an empty text has no spans; a structure that is nested
+beyond what the JSON parser takes, or malformed in any other way, is unconfirmed; repeated rows give
 repeated rows; an empty table gives an empty table; columns other than those named are ignored.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -35,7 +38,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so its first 24 decide
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{48,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,}+(?:\r?\n|\\+[nr])[\x20\t]*+)++[A-Za-z0-9+/]*+={0,2}")  # lines of base64
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[^-]|-(?!----(?:BEGIN|END) ))*+)-----END \1-----")  # the body holds no other BEGIN or END
 _ESCAPED = re.compile(r"\\+[nr]")  # line ends as JSON strings have them
 #: Header lines of a traditional encrypted key; its cipher works on blocks of 8 or 16 bytes.
@@ -123,11 +127,12 @@ def signed_token(text: str) -> bool:
     try:
         header = json.loads(decode_base64(head) or b"")
         body = json.loads(decode_base64(payload) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
-    if not isinstance(header, dict) or not isinstance(body, dict) or header.get("alg") not in SIGNATURE_BYTES:
+    algorithm = header.get("alg") if isinstance(header, dict) and isinstance(body, dict) else None
+    if not isinstance(algorithm, str) or algorithm not in SIGNATURE_BYTES:
         return False
-    size, raw = SIGNATURE_BYTES[header["alg"]], decode_base64(signature)
+    size, raw = SIGNATURE_BYTES[algorithm], decode_base64(signature)
     return raw is not None and (len(raw) == size if size is not None else len(raw) >= 128)
 
 
@@ -153,9 +158,20 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             body = decode_base64("".join("".join(lines).split()))
             if key_encoding(body) or (body and len(body) % 8 == 0 and _DEK.search(inside)):
                 found.append(("pem", *m.span()))
+    if "\n" in text or "\\" in text:
+        pems = [s for s in found if s[0] == "pem"]
+        for m in _WRAPPED.finditer(text):
+            if key_encoding(decode_base64("".join(_ESCAPED.sub(" ", m[0]).split()))) and not _inside(pems, m.start()):
+                found.append(("der", *m.span()))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _inside(spans: list[tuple[str, int, int]], at: int) -> bool:
+    """Whether one of the spans, sorted and apart from each other, holds the place."""
+    k = bisect.bisect_right(spans, at, key=lambda s: s[1]) - 1
+    return k >= 0 and at < spans[k][2]
+
+
 def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id_column and secret_spans, the spans of each whole text."""
 

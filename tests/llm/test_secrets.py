@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from citelake.llm import secrets
 
@@ -73,6 +74,45 @@ def test_encrypted_and_escaped_pem():
     assert secrets.scan("-----BEGIN PRIVATE KEY-----\n" * 20000) == []
 
 
+def test_any_text_gives_a_result_in_linear_time():
+    token = lambda head: ".".join([b64(head), b64(b'{"sub":"1"}'), b64(b"s" * 32)])
+    assert not kinds(token(b'{"alg":[]}')) and not kinds(token(b'{"alg":{"a":1}}')) and not kinds(token(b"[1]"))
+    assert not kinds(token(b'{"alg":' + b"[" * 200_000)) and not kinds(token(b'{"a":' * 200_000))
+    assert not kinds(token(b'{"alg":"HS256","n":' + b"9" * 10_000 + b"}"))
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        for text in ("ey" * n + " .", "ey" * n + ".", "A" * 2 * n + " ", ("A" * 41 + "\n") * (n // 20), "token" * n, "secret" + " " * n, "+/" * n, "-" * 2 * n, "-----BEGIN " * (n // 5), "ey.ey." * n):
+            secrets.scan(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2  # four times the length; quadratic would be sixteen
+
+
+def test_wrapped_base64_outside_a_pem_block():
+    key = base64.b64encode(PKCS8).decode()
+    for end in ("\n", "\r\n", "\\n", "\n  "):
+        wrapped = end.join(key[i : i + 64] for i in range(0, len(key), 64))
+        assert kinds(f"key: {wrapped}; done") == [("der", wrapped)]
+    assert not kinds("key:\n" + "\n".join(["QUJD" * 16] * 5))
+
+
+def brute(text):
+    """The base spans by the contract's patterns, each match found by hand from the left."""
+    found = []
+    for kind, pattern, good in (
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text) if kind == "assign" else text
+        at, p = 0, re.compile(pattern)
+        while m := p.search(lowered, at):
+            at = m.end()
+            if good(m):
+                found.append((kind, *m.span()))
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
 def test_table_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "token = abcdefgh", "x"), (3, "token = abcdefgh", "x"), (None, "z" * 200000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans string")
@@ -87,6 +127,7 @@ def test_query(spark):
     got = secrets.query(spark, sf).collect()
     assert len(got) == len(texts)
     for r in got:
-        spans = [s for s in secrets.scan(texts[r["doc_id"]]) if s[0] in secrets.BASE_KINDS]
-        assert r["n_hex"] == sum(1 for m in re.finditer("[0-9a-f]+", texts[r["doc_id"]]) if len(m[0]) >= 24)
+        spans = brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in secrets.BASE_KINDS] == [sum(s[0] == k for s in spans) for k in secrets.BASE_KINDS]
+        assert {f"{k}:{s}:{e}" for k, s, e in spans} <= set(r["spans"].split(","))
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
