@@ -7,22 +7,25 @@
 * Radius: codes are of centred vectors, and taking off a common mean widens angles. So the radius is
   measured: partners at COSINE are planted beside the sample's vectors, in any direction and towards
   other vectors of the sample, and the radius holds the share RECALL of each kind.
-* Multi-index Hamming tables: a code is cut into tables of about log2(n) bits, or of fewer where
-  the radius asks for more tables. Codes within the radius differ by at most radius / tables bits in
-  some table, MOST_FLIPS or fewer, so each vector is entered under its keys up to one bit away and
-  looked up under such keys too, which together spans two bits: no pair within it is missed. A pair
+* Multi-index Hamming tables: a code is cut into tables, and codes within the radius differ by at most
+  radius / tables bits in some table. Of these bits a vector is entered under its keys with up to
+  half flipped, and looked up with the other half, so no pair within the radius is missed. How many
+  tables there are is what costs least for the number of vectors: more of them mean narrower keys,
+  which are cheap to enter and crowded, fewer mean wider keys with more flips. There is no cap on
+  either, so look-ups grow more slowly than the square of the vectors at any number of them. A pair
   belongs to the first table in which it meets and to one key there, so no pair is listed twice;
-  its whole codes must be within RADIUS.
+  its whole codes must be within the radius.
 * Rerank: cosine of the original vectors in double precision; a pair links at COSINE or more.
 
 Vectors that are equal component by component are one class from the start: it meets others
 once, and its copies link with each other and with all that it links with, by counts. Crowded table
 keys are cut into blocks of BLOCK entries, and every pair of blocks is a task of its own, so none
-is capped. What the index finds is checked exactly; recall is measured in the tests on planted pairs,
+is capped. Each length of vectors has its own index; lengths with at most PLAIN vectors are
+compared whole. What the index finds is checked exactly; recall is measured in the tests on planted pairs,
 with and without a common mean, and must be 0.9 or more.
 
 Defined cases: a null or zero vector, or one with null or non-finite components or none, links with
-nothing; vectors of another length than the commonest link with nothing but their copies; rows that
+nothing; vectors of different lengths don't link; rows that
 repeat an id are separate vectors with that id in the links and one row in the result; a null id is
 left out of components and returned alone; an empty table gives an empty table; columns other than
 vec_id and embedding are ignored.
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +52,11 @@ TURNS = 30
 RECALL = 0.98
 #: Share of the bits that the radius is where there is no sample to measure it on.
 RADIUS_SHARE = 0.17
-MOST_FLIPS = 2  # what split_masks can span
+WIDEST = 60  # bits of a key
+PLAIN = 64  # vectors of a length that need no index
+MEETING = 0.05  # what comparing two codes costs, in entries
 BLOCK = 512
+ENTRIES = 200_000  # handed on at once
 
 
 class Quantiser:
@@ -94,15 +101,22 @@ class Quantiser:
 
 
 class Tables:
-    """How codes are cut into tables, and which keys lie near a key."""
+    """How codes are cut into tables, and under which keys near a code's own it is entered and looked up."""
 
     def __init__(self, bits: int, n: int, radius: int | None = None):
-        width = min(20, max(8, int(np.ceil(np.log2(max(2, n))))))
         self.bits, self.radius = bits, int(RADIUS_SHARE * bits) if radius is None else radius
-        # with radius < count x (flips + 1), a pair within the radius is near in one table at least
-        count = min(bits, max(1, bits // width, self.radius // (MOST_FLIPS + 1) + 1))
+        count = min(range(-(-bits // WIDEST), bits + 1), key=lambda c: self.cost(c, n))
         self.edges = np.linspace(0, bits, count + 1).astype(int)
+        # with radius < count x (flips + 1), a pair within the radius is near in one table at least
         self.flips = self.radius // count
+        self.entered, self.asked = (self.flips + 1) // 2, self.flips // 2
+
+    def cost(self, count: int, n: int) -> float:
+        """Entries, look-ups and meetings of a vector with so many tables."""
+        width, flips = -(-self.bits // count), self.radius // count
+        ball = lambda f: sum(comb(width, k) for k in range(f + 1))
+        entered, asked = ball((flips + 1) // 2), ball(flips // 2)
+        return count * (entered + asked + MEETING * entered * asked * n / 2 ** (self.bits / count))
 
     def __len__(self) -> int:
         return len(self.edges) - 1
@@ -111,18 +125,19 @@ class Tables:
         part = codes[:, self.edges[t] : self.edges[t + 1]].astype(np.int64)
         return part @ (1 << np.arange(part.shape[1], dtype=np.int64))
 
-    def masks(self, t: int) -> np.ndarray:
-        width = self.edges[t + 1] - self.edges[t]
-        out = [0]
-        for k in range(1, self.flips + 1):
-            out += [sum(1 << i for i in c) for c in combinations(range(width), k)]
-        return np.array(out, dtype=np.int64)
-
+    def masks(self, t: int, flips: int) -> np.ndarray:
+        """The bits to flip in a key of table t, at most `flips` of them."""
+        width = int(self.edges[t + 1] - self.edges[t])
+        return np.array([sum(1 << i for i in c) for k in range(flips + 1) for c in combinations(range(width), k)], dtype=np.int64)
 
-def split_masks(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks for entries and for look-ups: near keys meet if one side flips at most one bit and the other the rest."""
-    weight = np.bitwise_count(masks)
-    return masks[weight <= 1], masks[weight <= 1] if weight.max(initial=0) > 1 else masks[:1]
+    def own(self, differ: np.ndarray) -> np.ndarray:
+        """Of the bits in which two keys differ, those that the entry flips where the pair belongs: the lowest."""
+        left, out = differ.copy(), np.zeros_like(differ)
+        for _ in range(self.entered):
+            low = left & -left
+            out |= low
+            left ^= low
+        return out
 
 
 def parsed_vectors(table: DataFrame) -> DataFrame:
@@ -135,60 +150,94 @@ def parsed_vectors(table: DataFrame) -> DataFrame:
     return table.select("vec_id", F.when(good & finite & nonzero, v).alias("v"))
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+def _by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) of the vectors of each length."""
+    sizes = np.diff(column.offsets.to_numpy())
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        part = column if len(rows) == len(sizes) else column.take(pa.array(rows))
+        yield size, rows, part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def candidates(classes: DataFrame, quantiser: Quantiser, tables: Tables) -> DataFrame:
-    """(a, b), a < b: classes whose codes meet in a table and lie within the radius; each pair once."""
-    shared = classes.sparkSession.sparkContext.broadcast((quantiser, tables))
-    size = quantiser.dimension
+Index = dict[int, tuple[Quantiser, Tables]]
+
+
+def candidates(classes: DataFrame, index: Index) -> DataFrame:
+    """(a, b), a < b: classes whose codes meet in a table of their length and lie within the radius; each pair once."""
+    shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, t_ = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            codes = q.encode(_matrix(batch.column(1), size))
-            packed = np.packbits(codes, axis=1)
-            blobs = np.array([r.tobytes() for r in packed], dtype=object)
-            for t in range(len(t_)):
-                key = t_.keys(codes, t)
-                own, other = split_masks(t_.masks(t))
-                for masks, role in ((own, 0), (other, 1)):
-                    keys = (key[:, None] ^ masks[None]).ravel()
-                    who = np.repeat(np.arange(len(ids)), len(masks))
-                    arrays = [np.full(len(keys), t, dtype=np.int32), keys, np.full(len(keys), role, dtype=np.int32), ids[who]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(blobs[who], pa.binary())], names=["t", "key", "role", "id", "code"])
-
-    entries = classes.select("id", "v").mapInArrow(enter, "t int, key long, role int, id long, code binary")
+            every = batch.column(0).to_numpy()
+            for size, rows, matrix in _by_size(batch.column(1)):
+                ids = every[rows]
+                if size not in shared.value:
+                    yield _entries(size, 0, np.zeros(2 * len(ids), dtype=np.int64), np.repeat([0, 1], len(ids)), np.tile(ids, 2), np.full(2 * len(ids), b"", dtype=object))
+                    continue
+                q, t_ = shared.value[size]
+                codes = q.encode(matrix)
+                blobs = np.array([r.tobytes() for r in np.packbits(codes, axis=1)], dtype=object)
+                for t in range(len(t_)):
+                    key = t_.keys(codes, t)
+                    for role, flips in ((0, t_.entered), (1, t_.asked)):
+                        masks = t_.masks(t, flips)
+                        for at in range(0, len(ids), step := max(1, ENTRIES // len(masks))):
+                            who = np.repeat(np.arange(at, min(at + step, len(ids))), len(masks))
+                            keys = (key[at : at + step, None] ^ masks[None]).ravel()
+                            yield _entries(size, t, keys, np.full(len(keys), role), ids[who], blobs[who])
+
+    entries = classes.select("id", "v").mapInArrow(enter, "size int, t int, key long, role int, id long, code binary")
     # look-ups without an entry, and entries without a look-up of another class, end here
-    sizes = entries.groupBy("t", "key").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.count("*").alias("_n")).where("_a < _b")
-    sizes = sizes.select("t", "key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    met = entries.join(sizes, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = entries.groupBy("size", "t", "key").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.count("*").alias("_n")).where("_a < _b")
+    sizes = sizes.select("size", "t", "key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    met = entries.join(sizes, ["size", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left, right = F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own"))
-    items = met.select("t", "key", left.alias("i"), right.alias("j"), F.struct("role", "id", "code").alias("x"))
-    grouped = items.groupBy("t", "key", "i", "j").agg(F.collect_list("x").alias("xs"))
+    items = met.select("size", "t", "key", left.alias("i"), right.alias("j"), F.struct("role", "id", "code").alias("x"))
+    grouped = items.groupBy("size", "t", "key", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, t_ = shared.value
         for batch in batches:
             out: list[np.ndarray] = []
-            ts, keys, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            flat, offsets = xs.flatten(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
-            role, ids = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            raw = np.frombuffer(b"".join(flat.field(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-            codes = np.unpackbits(raw, axis=1)[:, : t_.bits]
-            parts = np.stack([t_.keys(codes, t) for t in range(len(t_))], 1)
-            words = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
-            for t, key, lo, hi in zip(ts.tolist(), keys.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                entered, asked = np.flatnonzero(role[lo:hi] == 0) + lo, np.flatnonzero(role[lo:hi] == 1) + lo
-                if len(entered) and len(asked) and (found := _meet(ids, words, parts, key, entered, asked, t, t_)) is not None:
-                    out.append(found)
+            sizes = batch.column(0).to_numpy()
+            for size in np.unique(sizes).tolist():
+                part = batch if (sizes == size).all() else batch.filter(pa.array(sizes == size))
+                out += _meet_all(part, *shared.value.get(size, (None, None)))
             pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    return grouped.select("t", "key", "xs").mapInArrow(meet, "a long, b long")
+    return grouped.select("size", "t", "key", "xs").mapInArrow(meet, "a long, b long")
+
+
+def _entries(size: int, t: int, keys: np.ndarray, roles: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    n = len(keys)
+    ints = [np.full(n, size, dtype=np.int32), np.full(n, t, dtype=np.int32), keys, roles.astype(np.int32), ids]
+    return pa.RecordBatch.from_arrays([*map(pa.array, ints), pa.array(codes, pa.binary())], names=["size", "t", "key", "role", "id", "code"])
+
+
+def _meet_all(batch: pa.RecordBatch, _: Quantiser | None, tables: Tables | None) -> list[np.ndarray]:
+    """The pairs of the blocks of one length; without tables, all."""
+    out = []
+    ts, keys, xs = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+    flat, offsets = xs.flatten(), xs.offsets.to_numpy() - xs.offsets[0].as_py()
+    role, ids = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    if tables:
+        raw = np.frombuffer(b"".join(flat.field(2).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        codes = np.unpackbits(raw, axis=1)[:, : tables.bits]
+        parts = np.stack([tables.keys(codes, t) for t in range(len(tables))], 1)
+        words = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+    for t, key, lo, hi in zip(ts.tolist(), keys.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        entered, asked = np.flatnonzero(role[lo:hi] == 0) + lo, np.flatnonzero(role[lo:hi] == 1) + lo
+        if not len(entered) or not len(asked):
+            continue
+        if tables:
+            found = _meet(ids, words, parts, key, entered, asked, t, tables)
+        else:
+            i, j = np.nonzero(ids[entered][:, None] < ids[asked][None])
+            found = np.stack([ids[entered[i]], ids[asked[j]]], 1)
+        if found is not None:
+            out.append(found)
+    return out
 
 
 def _meet(ids: np.ndarray, words: np.ndarray, parts: np.ndarray, key: int, e: np.ndarray, q: np.ndarray, t: int, tables: Tables) -> np.ndarray | None:
@@ -199,25 +248,36 @@ def _meet(ids: np.ndarray, words: np.ndarray, parts: np.ndarray, key: int, e: np
         return None
     i, j = e[i], q[j]
     differ = parts[i] ^ parts[j]  # by table
-    mine = (parts[i, t] ^ key) == (differ[:, t] & -differ[:, t])  # the entry flips the lowest bit that differs
+    mine = (parts[i, t] ^ key) == tables.own(differ[:, t])
     mine &= (np.bitwise_count(differ[:, :t]) > tables.flips).all(1)  # and no earlier table owns the pair
     return np.stack([ids[i[mine]], ids[j[mine]]], 1)
 
 
-def links(pairs: DataFrame, classes: DataFrame, size: int, cosine: float = COSINE) -> DataFrame:
+def links(pairs: DataFrame, classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The pairs whose vectors have the cosine, in double precision."""
     a, b = (classes.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _matrix(batch.column(2), size), _matrix(batch.column(3), size)
-            value = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            kept = batch.filter(pa.array(value >= cosine))
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for (_, rows, x), (_, _, y) in zip(_by_size(batch.column(2)), _by_size(batch.column(3)), strict=True):
+                good[rows] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine
+            kept = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
+def built_index(classes: DataFrame, sample: int = SAMPLE) -> Index:
+    """Quantiser and tables of every length with more than PLAIN vectors."""
+    index: Index = {}
+    for shape in classes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).where(F.col("n") > PLAIN).collect():
+        drawn = classes.where(F.size("v") == shape["size"]).orderBy("id").limit(sample).select("v").collect()
+        quantiser = Quantiser(np.array([r["v"] for r in drawn], dtype=np.float64))
+        index[shape["size"]] = quantiser, Tables(quantiser.bits, shape["n"], quantiser.radius)
+    return index
+
+
 def near_duplicates(table: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept for every vec_id."""
     vectors = materialise(parsed_vectors(table).withColumn("cls", F.md5(F.to_json(F.struct("v")))), "vectors")
@@ -225,14 +285,7 @@ def near_duplicates(table: DataFrame) -> DataFrame:
     # a class is named by its smallest vec_id; an id that repeats with other vectors names each by a hash
     grouped = good.groupBy("cls").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = materialise(grouped.select(F.xxhash64("cls").alias("id"), "low", "copies", "v"), "classes")
-    shape = classes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    size, n = (shape["size"], shape["n"]) if shape else (1, 0)
-    usual = classes.where(F.size("v") == size)
-    drawn = usual.orderBy("id").limit(SAMPLE).select("v").collect()
-    quantiser = Quantiser(np.array([r["v"] for r in drawn], dtype=np.float64).reshape(-1, size))
-    tables = Tables(quantiser.bits, n, quantiser.radius)
-    pairs = candidates(usual, quantiser, tables)
-    found = materialise(links(pairs, usual, size), "links")
+    found = materialise(links(candidates(classes, built_index(classes)), classes), "links")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     labels = connected_components(found)

@@ -39,12 +39,44 @@ def test_pairs_are_listed_once_and_completely(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
     quantiser = itq.Quantiser(x.astype(np.float64))
     tables = itq.Tables(quantiser.bits, len(x))
-    pairs = [(r["a"], r["b"]) for r in itq.candidates(df, quantiser, tables).collect()]
+    pairs = [(r["a"], r["b"]) for r in itq.candidates(df, {32: (quantiser, tables)}).collect()]
     codes = quantiser.encode(x.astype(np.float64))
     apart = (codes[:, None] != codes[None]).sum(2)
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(apart <= tables.radius, 1)), strict=True)}
-    guaranteed = {p for p in want if apart[p] < len(tables) * (tables.flips + 1)}
-    assert len(pairs) == len(set(pairs)) and guaranteed <= set(pairs) <= want and len(want) > 1000
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 1000
+
+
+def test_each_pair_within_the_radius_belongs_to_one_key_at_any_number_of_vectors():
+    rng = np.random.default_rng(5)
+    for bits, radius in ((64, 10), (64, 14), (32, 5), (200, 33)):
+        for n in (10**3, 10**5, 10**7, 10**9, 10**11):
+            t = itq.Tables(bits, n, radius)
+            assert radius < len(t) * (t.flips + 1) and t.entered + t.asked == t.flips
+            a = rng.integers(0, 2, (300, bits)).astype(np.uint8)
+            b = a.copy()
+            for k, row in enumerate(b):
+                row[rng.permutation(bits)[: k % (radius + 1)]] ^= 1
+            near = np.stack([(a[:, x:y] != b[:, x:y]).sum(1) <= t.flips for x, y in zip(t.edges[:-1], t.edges[1:], strict=True)])
+            assert near.any(0).all()
+            for k in range(len(t)):
+                differ = t.keys(a, k) ^ t.keys(b, k)
+                own = t.own(differ)
+                met = near[k]
+                assert (np.bitwise_count(own)[met] <= t.entered).all() and (np.bitwise_count(differ ^ own)[met] <= t.asked).all()
+
+
+def test_lengths_are_indexed_apart(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.01]))]
+    y = rng.normal(size=(150, 16))
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(np.concatenate([y, y * 1.01 + 0.001]))]
+    rows += [(2000, [1.0, 0.2, 0.1]), (2001, [1.0, 0.2, 0.11]), (2002, [0.0, 1.0, 0.0]), (2003, [1.0, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_duplicates(df).collect()}
+    assert np.mean([got[i + 150] == (1, i) for i in range(150)]) >= 0.97
+    assert np.mean([got[1150 + i] == (1, 1000 + i) for i in range(150)]) >= 0.97
+    assert got[2000] == got[2001] == (1, 2000) and got[2002] == (0, 2002) and got[2003] == (0, 2003)
 
 
 def planted(mean, cosine, n=3000, size=64):
@@ -65,7 +97,7 @@ def test_recall_on_planted_pairs_and_wide_tables():
             differ = q.encode(x) ^ q.encode(y)
             for n in (len(x), 10**4, 10**6, 10**9):
                 t = itq.Tables(q.bits, n, q.radius)
-                assert t.radius < len(t) * (t.flips + 1) and t.flips <= itq.MOST_FLIPS
+                assert t.radius < len(t) * (t.flips + 1)
                 near = [differ[:, a:b].sum(1) <= t.flips for a, b in zip(t.edges[:-1], t.edges[1:], strict=True)]
                 assert (np.any(near, 0) & (differ.sum(1) <= t.radius)).mean() >= 0.95, (mean, cosine, n)
 
