@@ -1,31 +1,32 @@
 """Chat formatting: roles by a hidden Markov model, then one canonical rendering of turns.
 
-States are the roles, each as the first or a later line of a turn. A line shows a speaker marker
-(a role name given beside it, or a label such as "User:" at its start), whether a turn is known to
-begin there, and features: its length, a question mark, list or code marks. Start and transition
-probabilities and feature frequencies are counted on at most SAMPLE turns with known roles, those
-with the smallest hashes of their conversation ids, and smoothed; a given role or label is all but
-sure. Viterbi's path gives the roles. A turn is rendered as <|role|>, its text and <|end|>.
-
-A conversation is decoded in parts of PART consecutive turn numbers, so that one of any length is
-never gathered in one task: each part gives a matrix of best scores from state to state, the
-matrices of a conversation are chained to find the states at the limits of its parts, and then
-each part is decoded between its limits. The result has a row for each part; usually that is one.
-
-The query takes the roles as given: each row is a turn with a role, so its markers are not read and
-no role of the tables is recovered. Where only transcripts are at hand, parse_transcripts recovers
-turns and roles from the markers and features of their lines, one transcript a row.
+States are the roles, each as the first or a later line of a turn. A line shows a speaker marker (a
+label such as "User:" at its start), whether a turn is known to begin there, and features: its length, a
+question mark, list or code marks. Start and transition probabilities and feature frequencies are
+counted on at most SAMPLE turns with known roles, of the conversations with the smallest hashes of
+their ids, and smoothed; a label is all but sure. Viterbi's path over all lines of a conversation gives
+the role of each turn. A turn is rendered as <|role|>, its text and <|end|>.
+
+format_conversations takes a table of turns: each row is known to begin a turn, whose lines go on with
+it. Their roles are hidden from the model unless `given` names them as known, and recovered from
+markers, features and the order of turns; the query hides all roles and returns the recovered one beside
+whether the table agrees. parse_transcripts takes whole transcripts and finds the turns too.
+
+The result has a row for each turn, so nothing of a conversation's length is gathered in one row. A
+conversation is decoded in parts of PART consecutive turn numbers: each part gives a matrix of best
+scores from state to state, the matrices of a conversation are chained to find the states at the limits
+of its parts, and then each part is decoded between its limits, which gives the path of the whole.
 
 Defined cases: a null text counts as empty; rows of equal turn number are ordered by text, then
-role; null turn numbers form part -1, ordered likewise; a null conv_id is one conversation; null
-and unknown roles are recovered; repeated rows are repeated turns; an empty table gives an empty
+role; null turn numbers come first, ordered likewise; a null conv_id is one conversation; unknown
+roles count as null, and agree with nothing; repeated rows are repeated turns; an empty table gives an empty
 table; columns other than conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelake.llm.common import map_texts, read_table
+from citelake.llm.common import map_texts, read_table, slices
 
 ROLES = ("system", "user", "assistant")
 #: Fixed names of roles in common transcript formats.
@@ -43,6 +44,7 @@ NAMES = {
     "assistant": 2, "ai": 2, "bot": 2, "gpt": 2, "model": 2, "answer": 2, "a": 2, "agent": 2, "chatgpt": 2, "response": 2,
 }
 PART = 4096
+NO_TURN = -(1 << 62)  # the part of null turn numbers, before all others
 SAMPLE = 20_000
 GIVEN, LABELLED = 1e-6, 1e-3  # chance of a wrong role beside a turn, and of a misleading label in a line
 _LABEL = re.compile(r"\s*(?:<\|(?:im_start\|>)?|#{1,4}\s*|\*\*|\[)?([A-Za-z]{1,12})(?:\|>|\*\*|\])?\s*(:|\n|$)(?:\*\*)?\s*")
@@ -75,19 +77,16 @@ class Hmm:
     more: float = 0.6  # chance that a turn goes on in the next line
 
     @classmethod
-    def counted(cls, turns: Sequence[tuple[object, str | None, str | None]]) -> Hmm:
-        """From (conversation, role, text) in order."""
+    def counted(cls, turns: Iterable[tuple[object, int | None, int, list[int]]]) -> Hmm:
+        """From (conversation, role, bin of the turn, lines by bin) in order."""
         start, follow, bins, lines = np.full(3, 1.0), np.full((3, 3), 1.0), np.full((3, BINS), 1.0), np.full((3, BINS), 1.0)
         ends, later = 4.0, 6.0
         before: tuple | None = None
-        for conversation, role, text in turns:
-            known = NAMES.get((role or "").lower())
+        for conversation, known, whole, parts in turns:
             if known is not None:
-                bins[known, bin_of(text or "")] += 1
-                parts = (text or "").split("\n")
-                for line in parts:
-                    lines[known, bin_of(line)] += 1
-                ends, later = ends + 1, later + len(parts) - 1
+                bins[known, whole] += 1
+                lines[known] += parts
+                ends, later = ends + 1, later + sum(parts) - 1
                 if before is None or before[0] != conversation:
                     start[known] += 1
                 elif before[1] is not None:
@@ -99,11 +98,11 @@ class Hmm:
     def emissions(self, lines: Sequence[str], given: Sequence[int | None], begins: Sequence[bool | None]) -> np.ndarray:
         """Log likelihoods (lines x 6): states 0-2 begin a turn of a role, 3-5 go on with it."""
         out = np.zeros((len(lines), 6))
+        labels = [None if begin is False else label_of(x) for x, begin in zip(lines, begins, strict=True)]
         # where turns are labelled, one without a label is as rare as a misleading label
-        unlabelled = LABELLED if any(b is None and label_of(x) for x, b in zip(lines, begins, strict=True)) else 0.05
-        for i, (line, role, begin) in enumerate(zip(lines, given, begins, strict=True)):
-            out[i] = np.tile((self.lines if begin is None else self.bins)[:, bin_of(line)], 2)
-            label = label_of(line) if begin is None else None
+        unlabelled = LABELLED if any(x and b is None for x, b in zip(labels, begins, strict=True)) else 0.05
+        for i, (line, role, begin, label) in enumerate(zip(lines, given, begins, labels, strict=True)):
+            out[i] = np.tile(self.lines[:, bin_of(line)], 2)
             for sure, chance in ((role, GIVEN), (label[0] if label else None, LABELLED)):
                 if sure is not None:
                     shown = np.full(3, np.log(chance))
@@ -116,6 +115,15 @@ class Hmm:
                 out[i, 3 if begin else 0 : 6 if begin else 3] = -np.inf
         return out
 
+    def turn_emissions(self, texts: Sequence[str], given: Sequence[int | None]) -> np.ndarray:
+        """Log likelihoods (turns x 3) of whole turns: their lines' together, by the only path that begins at the first."""
+        out = np.zeros((len(texts), 3))
+        for i, (text, role) in enumerate(zip(texts, given, strict=True)):
+            lines = text.split("\n")
+            shown = self.emissions(lines, [role] + [None] * (len(lines) - 1), [True] + [False] * (len(lines) - 1))
+            out[i] = shown[0, :3] + shown[1:, 3:].sum(0) + (len(lines) - 1) * np.log(self.more) + self.bins[:, bin_of(text)]
+        return out
+
     def steps(self) -> np.ndarray:
         """Log transitions between the six states."""
         go = np.full((6, 6), -np.inf)
@@ -127,18 +135,22 @@ class Hmm:
     def begin(self) -> np.ndarray:
         return np.concatenate([self.start, np.full(3, -np.inf)])
 
+    def _chain(self, states: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and transitions over lines (six states) or over whole turns (three)."""
+        return (self.begin(), self.steps()) if states == 6 else (self.start, self.follow)
+
     def matrix(self, e: np.ndarray) -> np.ndarray:
-        """Best score of a part from each state of its first line to each of its last; 6 x 6, max-plus."""
-        go = self.steps()
-        m = np.where(np.eye(6) > 0, e[0][None], -np.inf)
+        """Best score of a part from each state at its start to each at its end; states x states, max-plus."""
+        go = self._chain(e.shape[1])[1]
+        m = np.where(np.eye(e.shape[1]) > 0, e[0][None], -np.inf)
         for row in e[1:]:
             m = (m[:, :, None] + go[None]).max(1) + row[None]
         return m
 
     def limits(self, matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-        """The states of each part's first and last line on the best path through all parts."""
-        go = self.steps()
-        entry, entries, scores = self.begin(), [], []
+        """The states at each part's start and end on the best path through all parts."""
+        entry, go = self._chain(len(matrices[0]))
+        entries, scores = [], []
         for m in matrices:
             entries.append(entry)
             scores.append((entry[:, None] + m).max(0))
@@ -152,9 +164,9 @@ class Hmm:
         return out[::-1]
 
     def path(self, e: np.ndarray, entry: int | None = None, last: int | None = None) -> list[int]:
-        """Viterbi's states, between the given states of the first and the last line, if any."""
-        go = self.steps()
-        score = (self.begin() if entry is None else np.where(np.arange(6) == entry, 0.0, -np.inf)) + e[0]
+        """Viterbi's states, between the given states at the start and the end, if any."""
+        begin, go = self._chain(e.shape[1])
+        score = (begin if entry is None else np.where(np.arange(e.shape[1]) == entry, 0.0, -np.inf)) + e[0]
         back = []
         for row in e[1:]:
             all_ = score[:, None] + go
@@ -198,54 +210,70 @@ def rendered(role: str, text: str | None) -> str:
 
 
 def count_model(turns: DataFrame, sample: int = SAMPLE) -> Hmm:
-    rows = turns.select("conv_id", "turn", "role", "text").orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "text").limit(sample).collect()
-    return Hmm.counted([(r["conv_id"], r["role"], r["text"]) for r in rows])
+    """The model counted on at most `sample` turns; tasks make their features, so no text reaches the driver."""
+    text, name = F.coalesce(F.col("text").cast("string"), F.lit("")), F.lower(F.col("role").cast("string"))
+    keys = turns.select(F.xxhash64("conv_id").alias("h"), "conv_id", "turn", name.alias("name"), text.alias("text"))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            wholes, lines = [], []
+            for x in batch.column(4).to_pylist():
+                wholes.append(bin_of(x))
+                lines.append(np.bincount([bin_of(line) for line in x.split("\n")], minlength=BINS).tolist())
+            roles = [NAMES.get(r or "") for r in batch.column(3).to_pylist()]
+            made = [pa.array(roles, pa.int32()), pa.array(wholes, pa.int32()), pa.array(lines, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(5), *made], names=["h", "conv_id", "turn", "tie", "known", "whole", "lines"])
 
+    kinds = [turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+    made = keys.withColumn("tie", F.xxhash64("text", "name")).mapInArrow(describe, f"h long, conv_id {kinds[0]}, turn {kinds[1]}, tie long, known int, whole int, lines array<int>")
+    rows = made.orderBy("h", "conv_id", "turn", "tie").limit(sample).collect()
+    return Hmm.counted((r["h"], r["known"], r["whole"], r["lines"]) for r in rows)
 
-def _part_emissions(model: Hmm, turns: list[dict]) -> np.ndarray:
-    known = [NAMES.get((t["role"] or "").lower()) for t in turns]
-    return model.emissions([t["text"] or "" for t in turns], known, [True] * len(turns))
 
+def _part_emissions(model: Hmm, turns: list[dict], given: bool) -> np.ndarray:
+    known = [NAMES.get((t["role"] or "").lower()) if given else None for t in turns]
+    return model.turn_emissions([t["text"] or "" for t in turns], known)
 
-def format_conversations(turns: DataFrame, model: Hmm | None = None, part: int = PART) -> DataFrame:
-    """conv_id, part, n_turns, roles (array), n_recovered (roles that weren't given) and rendered."""
+
+def format_conversations(turns: DataFrame, model: Hmm | None = None, given: bool = False, part: int = PART) -> DataFrame:
+    """conv_id, turn, role (recovered), agrees (with the table's role) and rendered, a row for each turn.
+
+    given: whether the table's roles are known to the model, so that only missing ones are recovered.
+    """
     model = model or count_model(turns)
-    number = F.coalesce(F.floor(F.col("turn") / part).cast("long"), F.lit(-1).cast("long"))
+    number = F.coalesce(F.floor(F.col("turn") / part).cast("long"), F.lit(NO_TURN).cast("long"))
     item = F.struct(F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), F.col("role").cast("string").alias("role"))
     parts = turns.select("conv_id", number.alias("part"), item.alias("item")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
     kind = parts.schema["conv_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.matrix(_part_emissions(model, x)).ravel().tolist() for x in batch.column(2).to_pylist()]
+            found = [model.matrix(_part_emissions(model, x, given)).ravel().tolist() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["conv_id", "part", "m"])
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
             for i, matrices in enumerate(batch.column(1).to_pylist()):
-                found = model.limits([np.array(m["m"]).reshape(6, 6) for m in matrices])
+                found = model.limits([np.array(m["m"]).reshape(3, 3) for m in matrices])
                 rows += [i] * len(found)
                 out += [(m["part"], *x) for m, x in zip(matrices, found, strict=True)]
             columns = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["conv_id", "part", "entry", "last"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, roles, fixed, texts = [], [], [], []
-            entries = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            lasts = batch.column(4).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for items, entry, last in zip(batch.column(2).to_pylist(), entries, lasts, strict=True):
-                states = model.path(_part_emissions(model, items), entry, last)
-                names = [ROLES[s % 3] for s in states]
-                counts.append(len(items))
-                roles.append(names)
-                fixed.append(sum((t["role"] or "").lower() != r for t, r in zip(items, names, strict=True)))
-                texts.append("".join(rendered(r, t["text"]) for r, t in zip(names, items, strict=True)))
-            arrays = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(roles, pa.list_(pa.string())), pa.array(fixed, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "part", "n_turns", "roles", "n_recovered", "rendered"])
-
-    schema = f"conv_id {kind}, part long, n_turns long, roles array<string>, n_recovered long, rendered string"
+        for whole in batches:
+            for at in range(whole.num_rows):
+                batch = whole.slice(at, 1)
+                items = batch.column(2)[0].as_py()
+                ends = [batch.column(k)[0].as_py() for k in (3, 4)] if batch.num_columns > 3 else [None, None]
+                names = [ROLES[s] for s in model.path(_part_emissions(model, items, given), *ends)]
+                agrees = [NAMES.get((t["role"] or "").lower(), -1) == ROLES.index(r) for t, r in zip(items, names, strict=True)]
+                texts = [rendered(r, t["text"]) for r, t in zip(names, items, strict=True)]
+                own = batch.column(0).take(pa.array([0] * len(items)))
+                yield pa.RecordBatch.from_arrays([own, pa.array([t["turn"] for t in items], pa.int64()), pa.array(names, pa.string()), pa.array(agrees), pa.array(texts, pa.string())], names=["conv_id", "turn", "role", "agrees", "rendered"])
+
+    schema = f"conv_id {kind}, turn long, role string, agrees boolean, rendered string"
     # conversations of several parts are few; the others need no chaining
     spread = turns.groupBy("conv_id").agg(F.min(number).alias("a"), F.max(number).alias("b")).where("a < b").select(F.col("conv_id").alias("_conv"))
     same = F.col("conv_id").eqNullSafe(F.col("_conv"))
@@ -259,5 +287,4 @@ def format_conversations(turns: DataFrame, model: Hmm | None = None, part: int =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = format_conversations(read_table(spark, sf_dir, "conversations"))
-    return made.select("conv_id", "part", "n_turns", F.array_join("roles", " ").alias("roles"), "n_recovered", "rendered")
+    return format_conversations(read_table(spark, sf_dir, "conversations"))

@@ -1,15 +1,5 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-CHAT = """
-    SELECT conv_id, CAST(floor(turn / 4096) AS BIGINT) AS part, count(*) AS n_turns,
-           string_agg(role, ' ' ORDER BY turn, text, role) AS roles,
-           CAST(0 AS BIGINT) AS n_recovered,
-           string_agg('<|' || role || '|>' || chr(10)
-                      || replace(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)), '<|', '< |')
-                      || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, text, role) AS rendered
-    FROM conversations GROUP BY ALL
-"""
-
 _REACH = """
     reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
     low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)

@@ -202,8 +202,10 @@ def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             empty = [pa.nulls(len(cuts), like.schema.field(0).type), *(pa.nulls(len(cuts), pa.int64()) for _ in range(3)), pa.nulls(len(cuts), pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blocks, pa.binary()), *empty], names=names)
 
-        last = None
+        last, dealt_rows = None, 0
         for batch in slices(batches):
+            if last is None and batch.num_rows:
+                dealt_rows = batch.column(1)[0].as_py() & 0xFFFF
             last, ids, sizes, sketches = batch, [], [], []
             for data in batch.column(2).to_pylist():
                 h = shingles(data, words)
@@ -222,9 +224,10 @@ def _signed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 owners.append(g)
                 counts.append(len(own))
                 n += len(own)
-            spread = [(x ^ (g or 0)) & ((1 << bits) - 1) for x, g in zip(batch.column(1).to_pylist(), ids, strict=True)]
+            spread = (np.arange(dealt_rows, dealt_rows + len(ids)) & ((1 << bits) - 1)).astype(np.int32)  # copies too go to all tasks
+            dealt_rows += len(ids)
             made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(spread, pa.int32()), pa.nulls(len(ids), pa.binary()), batch.column(0), batch.column(1), *made], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(ids), pa.binary()), batch.column(0), batch.column(1), *made], names=names)
             if n > FLUSH:
                 yield flush(batch)
                 held, owners, counts, n = [], [], [], 0

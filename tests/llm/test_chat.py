@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from citelake.llm import chat
 
@@ -27,16 +28,41 @@ def test_viterbi_and_parts_against_brute_force(spark):
 
 
 
-def test_missing_roles_are_recovered(spark):
+def test_roles_are_recovered_from_hidden_ones(spark):
+    """Held out: counted on half of the conversations, decoded without roles on the other half."""
+    df = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    m = chat.count_model(df.where("conv_id % 2 = 0"))
+    held = df.where("conv_id % 2 = 1")
+    truth = {(r["conv_id"], r["turn"]): (r["role"], r["text"]) for r in held.collect()}
+    hidden = held.withColumn("role", F.lit(None).cast("string"))
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_conversations(hidden, m).collect()}
+    assert got.keys() == truth.keys() and not any(r["agrees"] for r in got.values())
+    assert np.mean([got[k]["role"] == role for k, (role, _) in truth.items()]) > 0.97
+    assert all(r["rendered"] == chat.rendered(r["role"], truth[k][1]) for k, r in got.items())
+
+
+def test_query_against_the_roles_of_the_table(spark):
+    truth = {(r["conv_id"], r["turn"]): r["role"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = {(r["conv_id"], r["turn"]): r for r in chat.query(spark, SF).collect()}
+    assert got.keys() == truth.keys()
+    assert all(r["agrees"] == (r["role"] == truth[k]) for k, r in got.items())
+    assert np.mean([r["agrees"] for r in got.values()]) > 0.97
+
+
+def test_markers_outweigh_features(spark):
+    rows = [(1, 0, None, "Assistant: hello"), (1, 1, None, "User: " + "long text. " * 100), (2, 0, None, "[Bot]: x"), (2, 1, None, "Human: y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["role"] for r in chat.format_conversations(df, model(spark)).collect()}
+    assert got == {(1, 0): "assistant", (1, 1): "user", (2, 0): "assistant", (2, 1): "user"}
+
+
+def test_missing_roles_beside_given_ones(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     truth = {(r["conv_id"], r["turn"]): r["role"] for r in df.collect()}
-    hidden = df.selectExpr("conv_id", "turn", "CASE WHEN turn % 2 = 1 THEN role END AS role", "text")
-    right = total = 0
-    for r in chat.format_conversations(hidden, model(spark)).collect():
-        turns = sorted(t for c, t in truth if c == r["conv_id"])
-        right += sum(truth[r["conv_id"], t] == role for t, role in zip(turns, r["roles"], strict=True))
-        total += len(turns)
-    assert right / total > 0.97
+    some = df.selectExpr("conv_id", "turn", "CASE WHEN turn % 2 = 1 THEN role END AS role", "text")
+    got = {(r["conv_id"], r["turn"]): r["role"] for r in chat.format_conversations(some, model(spark), given=True).collect()}
+    assert all(got[k] == r for k, r in truth.items() if k[1] % 2 == 1)
+    assert np.mean([got[k] == r for k, r in truth.items()]) > 0.97
 
 
 def test_transcript(spark):
@@ -65,10 +91,16 @@ def test_parts_and_odd_rows(spark):
     random.seed(1)
     rows = [(1, t, None if random.random() < 0.3 else ("user", "assistant")[t % 2], f"turn {t}") for t in range(50)]
     rows += [(None, None, None, None), (None, None, "user", ""), (2, 0, "User", "a <|b|>"), (2, 0, "User", "a <|b|>"), (2, 1, "bot", "x" * 50000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS rendered")
-    got = {(r["conv_id"], r["part"]): r for r in chat.format_conversations(df, model(spark), part=7).collect()}
-    assert sum(r["n_turns"] for r in got.values()) == 55
-    assert [r for k in range(8) for r in got[1, k]["roles"]] == ["user", "assistant"] * 25
-    assert got[2, 0]["n_turns"] == 3 and "< |b|>" in got[2, 0]["rendered"]
-    assert got[None, -1]["n_turns"] == 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS rendered", "3 AS agrees")
+    for given in (True, False):
+        runs = []
+        for part in (7, 4096):  # the parts don't change the path
+            found = chat.format_conversations(df, model(spark), given=given, part=part).collect()
+            assert len(found) == 55
+            runs.append(sorted(((r["conv_id"] or -1, r["turn"] or -1, r["role"], r["rendered"]) for r in found), key=str))
+        assert runs[0] == runs[1]
+        if given:
+            got = {r["turn"]: r["role"] for r in found if r["conv_id"] == 1}
+            assert [got[t] for t in range(50)] == ["user", "assistant"] * 25
+            assert "< |b|>" in next(r["rendered"] for r in found if r["conv_id"] == 2 and r["turn"] == 0)
     assert chat.format_conversations(df.limit(0), model(spark)).count() == 0
