@@ -49,12 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[list[str]] = []  # folders of materialise() in each open scratch(), innermost last
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    lasting: the table outlives the scratch() around it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citelake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _written:
+    if _written and not lasting:
         _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
