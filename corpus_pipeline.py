@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the
 last return the columns of docs.
+
+Defined cases: a null or empty text is a document without words, which stage 1 judges like any other
+and stages 2 to 5 keep; rows that repeat an id and a text become one in stage 2, and a repeated or null
+id with another text is another document; texts are taken whole at any length; further columns of docs
+pass through all stages but the last, unless they bear the name of a column that a stage adds (those of
+quality.OUTPUT, n_tokens, posteriors, rate); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from citelake.llm import bpe, mixing, partenum, pii, quality
-from citelake.llm.common import materialise, read_table
+from citelake.llm.common import discard, materialise, read_table, scratch
 
-#: Shares of tokens that stage 4 gives to documents without and with toxic text.
+#: Shares of tokens that stage 4 gives to documents without and with toxic text, at most; clean ones stay as they are.
 TARGETS = np.array([0.98, 0.02])
 
 
@@ -33,19 +39,19 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the rate says that brings clean and toxic tokens to TARGETS."""
-    rated = mixing.mix(docs, read_table(spark, sf_dir, "labels"), ("toxic",), TARGETS)
+    """Clean documents once each, and toxic ones as often as brings their tokens down to TARGETS."""
+    rated = mixing.mix(docs, read_table(spark, sf_dir, "labels"), ("toxic",), TARGETS, anchor=0)
     return mixing.realise(rated, docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document; decoding gives back its text."""
+    """doc_id, n_tokens, ids of each document, and the text decoded from them."""
 
     def emit(encoder: bpe.Encoder, texts: list[str | None]) -> dict[str, list]:
-        ids = [encoder.encode(t) for t in texts]
-        return {"n_tokens": [len(i) for i in ids], "ids": ids}
+        made = bpe.ids_and_text(encoder, texts)
+        return {"n_tokens": list(map(len, made["ids"])), "ids": made["ids"], "text": made["decoded"]}
 
-    return bpe.bpe(docs, bpe.vocabulary_bytes(), emit=emit, schema="n_tokens long, ids array<int>")
+    return bpe.bpe(docs, bpe.vocabulary_bytes(), emit=emit, schema="n_tokens long, ids array<int>, text string")
 
 
 STAGES = [
@@ -60,10 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again."""
+    """All stages over `documents`, each written as Parquet and read again; a stage's own tables go with it."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            following = materialise(stage(spark, docs, sf_dir), f"stage{k}", lasting=True)
+        if k:
+            discard(docs)
+        docs = following
+    return STAGES[-1][1](spark, docs, sf_dir)
