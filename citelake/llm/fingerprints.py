@@ -6,16 +6,18 @@ counted exactly over all documents. As each document adds its distinct terms onc
 distinct terms a document) / LOW terms can reach the band, however large the corpus; so the lexicon
 has a proven bound and travels as one literal, bucketed by hash for a constant-time look-up.
 
-Each lexicon term is dealt by its hash to one of SLICES slices; the first SUBSETS slices are the
-randomised lexicon subsets. A document's distinct terms in a subset are sorted and hashed, and the
-fingerprint is the list of those hashes (0 for an empty subset). A document with no term in any
-subset is fingerprinted on all of its distinct terms, so equal texts always have equal
+The SUBSETS randomised lexicon subsets overlap and together hold the whole lexicon: each term is dealt
+by its hash to one of them, and one term in TWICE to a second one. Subsets are many and small, as one
+changed term changes the hash of each subset that holds it. A document's distinct terms in a subset are sorted and hashed, and the
+fingerprint is the list of those hashes (0 for an empty subset). A document with no term in the
+lexicon is fingerprinted on all of its distinct terms, so equal texts always have equal
 fingerprints. The likeness of two fingerprints is the share of subsets, not empty in both, whose
 hashes agree; equal fingerprints have likeness 1.
 
-Terms are hashed to 64 bits. Each document meets the next one (descending doc_id) in a window over
-one of BUCKETS quantile ranges of doc_id; the last of a range gets the first of the following range
-from a table of a row a range. Texts are shuffled once.
+Terms are hashed to 64 bits. Each document meets the next one (descending doc_id) in a window over a
+quantile range of doc_id of about RANGE_ROWS documents (more where that would take over MOST_RANGES
+ranges); an id with many rows is spread over ranges of its own by a hash of the text. The last of a
+range gets the first of the following range from a table of a row a range. Texts are shuffled once.
 
 Defined cases: a null text counts as empty; equal ids are ordered by a hash of their texts; null
 ids come last, spread by that hash; a lone document is its own next; an empty table gives an empty
@@ -24,6 +26,7 @@ table; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +36,9 @@ from pyspark.sql.window import Window
 from citelake.llm.common import read_table
 
 LOW, HIGH = 0.002, 0.15
-SLICES, SUBSETS = 64, 32
-BUCKETS = 512
-NULL_RANGES = 64
+SUBSETS, TWICE = 64, 8
+RANGE_ROWS, MOST_RANGES = 2000, 20_000
+SPREAD = 64  # ranges of an id with many rows, and of null ids
 LOOKUP = 1 << 12
 EMPTY = 0  # stands for a subset without terms; no hash has this value
 SEPARATORS = r"[\s\p{Punct}]+"
@@ -47,8 +50,12 @@ def terms(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def slice_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term, F.lit(9)), F.lit(SLICES))
+def subsets_of(term: Column) -> Column:
+    """The subset or the two different subsets that hold a lexicon term."""
+    first = F.pmod(F.xxhash64(term, F.lit(9)), F.lit(SUBSETS))
+    draw = F.pmod(F.xxhash64(term, F.lit(10)), F.lit(TWICE * (SUBSETS - 1)))
+    second = F.pmod(first + 1 + draw, F.lit(SUBSETS))
+    return F.when(draw < SUBSETS - 1, F.array(first, second)).otherwise(F.array(first))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -59,23 +66,23 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def lookup(found: DataFrame) -> Column:
-    """The used part of the lexicon as one constant: an array of LOOKUP small arrays."""
-    used = found.where(slice_of(F.col("term")) < SUBSETS).select("term", F.pmod("term", F.lit(LOOKUP)).alias("at"))
+    """The lexicon as one constant: an array of LOOKUP small arrays."""
     cells: list[list[int]] = [[] for _ in range(LOOKUP)]
-    for row in used.collect():  # bounded: see the module's docstring
+    for row in found.select("term", F.pmod("term", F.lit(LOOKUP)).alias("at")).collect():  # bounded: see the module's docstring
         cells[row["at"]].append(row["term"])
     text = "[" + ",".join("[" + ",".join(map(str, sorted(c))) + "]" for c in cells) + "]"
     return F.from_json(F.lit(text), "array<array<bigint>>")
 
 
 def fingerprint(text: Column, table: Column) -> Column:
-    """Array of SUBSETS hashes, or of one where no term is in any subset."""
+    """Array of SUBSETS hashes, or of one where no term is in the lexicon."""
 
     def known(term: Column) -> Column:
-        return (slice_of(term) < SUBSETS) & F.array_contains(F.element_at(table, (F.pmod(term, F.lit(LOOKUP)) + 1).cast("int")), term)
+        return F.array_contains(F.element_at(table, (F.pmod(term, F.lit(LOOKUP)) + 1).cast("int")), term)
 
     def of_terms(every: Column) -> Column:
-        dealt = F.array_sort(F.transform(F.filter(every, known), lambda t: F.struct(slice_of(t).alias("s"), t.alias("t"))))
+        deal = lambda t: F.transform(subsets_of(t), lambda s: F.struct(s.alias("s"), t.alias("t")))
+        dealt = F.array_sort(F.flatten(F.transform(F.filter(every, known), deal)))
         whole = F.array(_not_empty(F.xxhash64(F.array_sort(every))))
         return F.when(F.size(dealt) == 0, whole).otherwise(_bound(dealt, _subsets))
 
@@ -92,11 +99,19 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _subsets(dealt: Column) -> Column:
-    def subset(j: Column) -> Column:
-        own = F.transform(F.filter(dealt, lambda x: x["s"] == j), lambda x: x["t"])
-        return F.when(F.size(own) == 0, F.lit(EMPTY).cast("long")).otherwise(_not_empty(F.xxhash64(own)))
+    """The hash of each subset's terms; dealt is sorted by subset, then term."""
+    own = F.transform(dealt, lambda x: x["s"])
+    parts = F.struct(own.alias("s"), F.reverse(own).alias("r"), F.transform(dealt, lambda x: x["t"]).alias("t"))
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), subset)
+    def every(x: Column) -> Column:
+        def subset(j: Column) -> Column:
+            first, last = F.array_position(x["s"], j), F.size(x["s"]) + 1 - F.array_position(x["r"], j)
+            terms_of = F.slice(x["t"], first.cast("int"), (last - first + 1).cast("int"))
+            return F.when(F.array_contains(x["s"], j), _not_empty(F.xxhash64(terms_of))).otherwise(F.lit(EMPTY).cast("long"))
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), subset)
+
+    return _bound(parts, every)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,32 +125,50 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _spread(value: Column) -> Column:
-    return F.pmod(F.shiftright(value, 58), F.lit(NULL_RANGES))
+    return F.pmod(F.shiftright(value, 58), F.lit(SPREAD))
+
 
+def _above(cuts: list[int]) -> Column:
+    """How many of the sorted distinct cuts are above doc_id, by looking in one of about sqrt(n) groups of them."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    last = F.from_json(F.lit(str([g[-1] for g in groups])), "array<bigint>")
+    inner = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
+    below = F.size(F.filter(last, lambda c: c <= F.col("doc_id")))  # groups that are not above at all
+    inside = F.coalesce(F.size(F.filter(F.get(inner, below), lambda c: c > F.col("doc_id"))), F.lit(0))
+    rest = F.greatest(F.lit(0), F.lit(len(cuts)) - (below + 1) * width)
+    return F.when(below >= len(groups), F.lit(0)).otherwise(inside + rest)
 
-def _ranges(docs: DataFrame) -> Column:
+
+def _ranges(docs: DataFrame, rows: int) -> Column:
     """A document's range: 0 for the largest ids, ascending as ids descend; null ids come last."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / BUCKETS for i in range(1, BUCKETS)], 20_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    return F.when(F.col("doc_id").isNotNull(), above).otherwise(F.lit(len(cuts) + NULL_RANGES) - _spread(F.col("_h")))
+    total = docs.count()
+    n = max(1, min(MOST_RANGES, -(-total // rows)))
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n)).alias("c")).first()["c"] or []
+    cuts, spread = sorted(set(found)), SPREAD - 1 - _spread(F.col("_h"))
+    many = sorted(c for c, k in Counter(found).items() if k > 1)  # ids with the rows of two ranges or more
+    crowded = F.array_contains(F.from_json(F.lit(str(many)), "array<bigint>"), F.col("doc_id").cast("long")) if many else F.lit(False)
+    known = _above(cuts) * SPREAD + F.when(crowded, spread).otherwise(F.lit(0))
+    return F.when(F.col("doc_id").isNotNull(), known).otherwise(F.lit((len(cuts) + 1) * SPREAD) + spread).cast("long")
 
 
-def with_next(docs: DataFrame, made: Column) -> DataFrame:
+def with_next(docs: DataFrame, made: Column, rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, text, made (a column expression over text) and next, the same of the next document."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_range", _ranges(docs))
+    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_range", _ranges(docs, rows))
     order = F.struct("doc_id", _spread(F.col("_h")).alias("s"), "_h")  # nulls are smallest, so they come last
-    # The first document of each range, found by its id and hash; at most BUCKETS + NULL_RANGES rows.
+    # The first document of each range, found by its id and hash; a row a range.
     heads = keyed.groupBy("_range").agg(F.max(order).alias("k")).select("_range", "k.doc_id", "k._h").collect()
     heads = sorted(heads, key=lambda r: r["_range"])
-    kinds = f"_before int, _id {docs.schema['doc_id'].dataType.simpleString()}, _hash long"
+    kinds = f"_before long, _id {docs.schema['doc_id'].dataType.simpleString()}, _hash long"
     follow = spark.createDataFrame([(heads[i - 1]["_range"], h["doc_id"], h["_h"]) for i, h in enumerate(heads)], kinds)
     found = keyed.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     edges = found.groupBy("_before").agg(F.first(F.struct("text", made.alias("made"))).alias("_edge"))  # copies are alike
     window = Window.partitionBy("_range").orderBy(order.desc())
-    rows = keyed.withColumn("made", made).withColumn("_next", F.lead(F.struct("text", "made")).over(window))
-    joined = rows.join(edges, F.col("_range") == F.col("_before"), "left")
+    each = keyed.withColumn("made", made).withColumn("_next", F.lead(F.struct("text", "made")).over(window))
+    joined = each.join(edges, F.col("_range") == F.col("_before"), "left")
     return joined.select("doc_id", "text", "made", F.coalesce("_next", "_edge").alias("next"))
 
 
@@ -143,12 +176,12 @@ def written(made: Column) -> Column:
     return F.array_join(F.transform(made, lambda h: F.hex(h)), ".")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, text, edited, and the fingerprints of text, edited and the next text, as arrays."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     table = lookup(lexicon(docs))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    rows = with_next(docs, fingerprint(F.col("text"), table))
+    rows = with_next(docs, fingerprint(F.col("text"), table), range_rows)
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.col("next.text"), F.lit(1), half)))
     return rows.select("doc_id", "text", "edited", F.col("made").alias("own"), fingerprint(F.col("edited"), table).alias("of_edited"), F.col("next.made").alias("of_next"))
 
