@@ -1,8 +1,9 @@
 """Byte-level BPE with content-defined chunk reuse, and its decoding.
 
 A rolling hash over the UTF-8 bytes cuts a text into chunks whose limits depend on the content
-near them only, so copies and edited copies share most chunks wherever they stand. Each chunk is
-encoded once per worker and looked up from then on. Tokens at a chunk's ends depend on what stands
+near them only, so copies and edited copies share most chunks wherever they stand. Each chunk, and each
+text of one chunk, is encoded once by a worker, across all documents it is given, and looked up from
+then on, as long as it stays in the worker's bounded cache; sharing over workers would shuffle the texts. Tokens at a chunk's ends depend on what stands
 beyond them, so a join is repaired: the text from the last sure limit of the left chunk to the
 first sure limit of the right one is encoded again, taking in further chunks until both sides
 agree on a limit. A sure limit is a single space between two other non-space characters: the
@@ -10,7 +11,8 @@ vocabulary's splitting pattern begins a piece there whatever stands around it, a
 special token crosses it. The ids are therefore those of the whole text.
 
 The merges run in the tiktoken library on the vocabulary read from a tokenizers JSON file; the
-tests hold both libraries against each other, over every code point among others.
+tests hold both libraries against each other, over every code point among others. A stretch that its
+pattern engine refuses (a run of some million spaces) goes to the tokenizers library itself.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to ""; a
 special token's string in a text becomes its id, as in the tokenizers library; texts of any length
@@ -25,6 +27,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +58,7 @@ class Encoder:
     def __init__(self, vocabulary: bytes, chunk_bits: int = CHUNK_BITS, cache_bytes: int = CACHE_BYTES):
         import tiktoken
 
+        self.vocabulary = vocabulary
         file = json.loads(vocabulary)
         special = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         letters = _byte_letters()
@@ -69,12 +73,26 @@ class Encoder:
         self.kept = self.asked = self.reused = 0
 
     def _encode(self, text: bytes) -> list[int]:
-        return self.engine.encode(text.decode("utf-8"), allowed_special="all") if text else []
+        if not text:
+            return []
+        try:
+            return self.engine.encode(text.decode("utf-8"), allowed_special="all")
+        except ValueError:
+            return self.plain.encode(text.decode("utf-8"), add_special_tokens=False).ids
+
+    @cached_property
+    def plain(self):
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_buffer(self.vocabulary)
+        made.no_padding()
+        made.no_truncation()
+        return made
 
     def cuts(self, data: bytes) -> list[int]:
         """Ends of the chunks, by a gear hash of the 16 bytes before; never inside a character."""
         n = len(data)
-        if n < 2 * int(self.mask):
+        if n <= 16:
             return [n]
         x = np.frombuffer(data, dtype=np.uint8)
         h = self.gear[x]
@@ -94,20 +112,32 @@ class Encoder:
         made = None
         if sure and sure[0] < sure[1]:
             made = data[: sure[0]], array("I", self._encode(data[sure[0] : sure[1]])), data[sure[1] :]
-        self.kept += len(data)
+        return self._keep(data, made)
+
+    def _keep(self, key: bytes, made: object) -> object:
+        self.kept += len(key)
         if self.kept > self.cache_bytes:
             self.cache.clear()
-            self.kept = len(data)
-        self.cache[data] = made
+            self.kept = len(key)
+        self.cache[key] = made
         return made
 
+    def _alone(self, data: bytes) -> list[int]:
+        """The ids of a text of one chunk."""
+        self.asked += 1
+        found = self.cache.get(key := b"\0text " + data)
+        if found is not None:
+            self.reused += 1
+            return list(found)
+        return list(self._keep(key, array("I", self._encode(data))))
+
     def encode(self, text: str | None) -> list[int]:
         data = (text or "").encode("utf-8")
         ids: list[int] = []
         start, join = 0, b""
         ends = self.cuts(data)
         if len(ends) == 1:
-            return self._encode(data)
+            return self._alone(data)
         for end in ends:
             found = self.chunk(piece := data[start:end])
             start = end

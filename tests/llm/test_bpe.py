@@ -48,6 +48,19 @@ def test_long_without_spaces(tools):
     same(tools, "a" * 5000 + "é" * 3000 + " " * 2000 + "b")
 
 
+def test_any_text_is_encoded_whole(tools):
+    for text in (" " * 1_200_000, "x " + " " * 1_200_000 + " y end", "word" * 100_000, "\n" * 300_000 + "a b", "<|endoftext|>" * 20_000):
+        same(tools, text)
+
+
+def test_short_copies_are_reused(tools):
+    encoder, _ = tools
+    encoder.asked = encoder.reused = 0
+    for _ in range(10):
+        same(tools, "tiny")
+    assert encoder.reused >= 0.9 * encoder.asked - 1
+
+
 def test_table(spark, tools):
     rows = [(1, "Hello world", 9), (2, None, 9), (3, "", 9), (3, "", 9), (None, "x", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")

@@ -95,3 +95,21 @@ def test_query(spark):
         want = brute(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
         assert r["n_email"] == sum(k == "email" for k, *_ in want)
+
+
+def test_many_spans_in_one_text_are_held_against_their_neighbours():
+    import random
+    import time
+
+    rng = random.Random(2)
+    spans = [("ip", s, s + rng.randint(1, 30)) for s in rng.sample(range(3000), 150)]
+    kept = pii._Stretches(spans)
+    for _ in range(500):
+        s = rng.randint(0, 3000)
+        c = ("ssn", s, s + rng.randint(1, 20))
+        assert kept.meets(c) == any(a < c[2] and s < b for _, a, b in spans)
+    text = "call (212) 555-0187 or ip 10.0.0.1, mail a@b.co; "
+    model = pii.trained()
+    assert len(model.spans(text * 3)) == 9
+    began = time.perf_counter()
+    assert len(model.spans(text * 4000)) == 12000 and time.perf_counter() - began < 20
