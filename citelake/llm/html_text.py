@@ -265,7 +265,7 @@ def repeated_runs(parsed: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFr
     """
     rows = parsed.where(F.length("tokens") >= 8 * MIN_RUN).select("page", "host", "tokens")
     large = rows.groupBy("host").agg(F.sum(F.length("tokens") / 8).alias("n")).where(F.col("n") > shard_tokens)
-    large = large.select("host", F.ceil(F.col("n") / shard_tokens).cast("int").alias("shards"))
+    large = materialise(large.select("host", F.ceil(F.col("n") / shard_tokens).cast("int").alias("shards")), "hosts")  # written, so that Spark knows its size before it deals the pages
     dealt = rows.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod("page", "shards").cast("int"))
     dealt = dealt.select("host", "shard", "shards", "page", "tokens").repartition(task_count(parsed), "host", "shard").sortWithinPartitions("host", "shard")
 
