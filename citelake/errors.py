@@ -77,3 +77,6 @@ class IncompleteReferences(SearchWarning): ...
 
 
 class DroppedRecords(SearchWarning): ...
+
+
+class MissingCounts(SearchWarning): ...

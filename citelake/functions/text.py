@@ -43,6 +43,16 @@ def folded(c: Column) -> Column:
     return trimmed(F.regexp_replace(c, r"\s+", " "))
 
 
+def plain_text(c: Column) -> Column:
+    """Text without markup, with plain hyphens and single spaces."""
+    return folded(F.regexp_replace(F.translate(c, "\u2010\u2011", "--"), "<[^>]*>", ""))
+
+
+def file_safe(c: Column) -> Column:
+    """A name for files: every run of other than ASCII letters and digits is one underscore. Different texts may agree."""
+    return F.regexp_replace(c, "[^A-Za-z0-9]+", "_")
+
+
 def names(c: Column) -> Column:
     """The non-blank names of a "; " list, trimmed; an empty array for none."""
     parts = F.filter(F.transform(F.split(c, "; "), trimmed), lambda x: x != "")

@@ -109,6 +109,18 @@ def abstract_row(key: str, found: dict, view: str | None, include: Sequence[str]
     }
 
 
+def abstracts_of(answers: DataFrame, view: str | None = None, include: Sequence[str] = ()) -> DataFrame:
+    """Rows like those of lookup() from answers that are at hand: (id, answer as JSON text)."""
+    extras, schema = checked_extras(include, view), to_arrow_schema(StructType.fromDDL(ROW))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pylist([abstract_row(key, json.loads(answer)["abstracts-retrieval-response"], view, extras) for key, answer in found], schema=schema)
+
+    return answers.select("id", "answer").mapInArrow(read, ROW)
+
+
 def lookup(ids: DataFrame, service: Service, by: str = "doi", view: str | None = None, include: Sequence[str] = (), parallel: int = 4) -> DataFrame:
     """A row for each row of ids (column id); a failed one has only id and its error in status.
 

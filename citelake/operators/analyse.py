@@ -1,4 +1,4 @@
-"""Counts, shares and rankings over record sets. Every operator makes one pass over its input."""
+"""Counts, shares and rankings over record sets: one pass over the input each, but for summary(), which reads it four times."""
 
 from __future__ import annotations
 

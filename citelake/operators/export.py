@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelake.functions.text import bibtex_escaped, citation_base, folded, names, suffixed
-
-
-def citation_keys(records: DataFrame) -> DataFrame:
-    """records with a column key: the first use of a base stays, repeats get suffixes in row order."""
-    based = records.withColumn("_base", citation_base(F.col("authors"), F.col("year"), F.col("record_id")))
-    repeat = F.row_number().over(Window.partitionBy("_base").orderBy("entry_number")) - 1
-    return based.withColumn("key", suffixed(F.col("_base"), repeat)).drop("_base")
+from citelake.operators.sets import BLOCK
+
+
+def citation_keys(records: DataFrame, block: int = BLOCK) -> DataFrame:
+    """records with a column key: the first use of a base stays, repeats get suffixes in row order.
+
+    Repeats are ranked inside blocks of entry_number and offset by the base's counts in earlier blocks,
+    so a base that many records share (those without author and id) is not ranked in one task.
+    """
+    based = records.withColumn("_base", citation_base(F.col("authors"), F.col("year"), F.col("record_id"))).withColumn("_block", F.floor(F.col("entry_number") / block))
+    counts = based.groupBy("_base", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_base").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_base", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_base", "_block").orderBy("entry_number")) - 1
+    ranked = based.withColumn("_rank", rank).join(offsets, ["_base", "_block"])
+    return ranked.withColumn("key", suffixed(F.col("_base"), F.col("_rank") + F.col("_offset"))).select(*records.columns, "key")
 
 
 def _given(c: Column) -> Column:

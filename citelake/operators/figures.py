@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections import Counter
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 from citelake.errors import BadInput
 from citelake.operators.analyse import with_band
 
-GAP = 0.024  # of a log axis' span between a point and its label
-
 
 def _dropping(before: DataFrame, kept: DataFrame, why: str) -> DataFrame:
     if gone := before.count() - kept.count():
@@ -53,12 +53,13 @@ def spread_labels(ends: DataFrame, value: str, gap: float) -> DataFrame:
     return ranked.withColumn("label_at", base + gap * F.col("_rank")).drop("_rank")
 
 
-def log_limits(counts: Sequence[float]) -> tuple[float, float, float]:
-    """Lower and upper limit of a log axis, and the ratio between a point and its label."""
+def log_limits(counts: Sequence[float], margin: float = 0.1) -> tuple[float, float]:
+    """The limits of a log axis: the decades that the counts span, and a share of them (one at least) on either side."""
     if not counts or min(counts) <= 0:
         raise BadInput("a log axis needs positive counts")
-    low, high = max(1, min(counts)) * 0.55, max(counts) * 4
-    return low, high, 10 ** (GAP * math.log10(high / low))
+    low, high = math.log10(min(counts)), math.log10(max(counts))
+    aside = margin * max(1.0, high - low)
+    return 10 ** (low - aside), 10 ** (high + aside)
 
 
 def log_breaks(low: float, high: float) -> list[float]:
@@ -85,12 +86,9 @@ def upper_limit(values: Sequence[float | None]) -> float:
     return min(100.0, math.ceil(max(known, default=0) / 5) * 5.0)
 
 
-def emptiest_corner(points: Sequence[tuple[float, float]], xlim: tuple[float, float], ylim: tuple[float, float]) -> tuple[int, int]:
-    """The corner (0 or 1 each way) whose nearest point is farthest; the first of equals."""
-
-    def scaled(v: float, lim: tuple[float, float]) -> float:
-        return (v - lim[0]) / (lim[1] - lim[0]) if lim[1] > lim[0] else 0.5
-
-    corners = [(0, 1), (1, 1), (0, 0), (1, 0)]
-    at = [(scaled(x, xlim), scaled(y, ylim)) for x, y in points if math.isfinite(x) and math.isfinite(y)]
-    return max(corners, key=lambda c: min((math.dist(c, p) for p in at), default=0.0))
+def free_quadrant(points: Sequence[tuple[float, float]]) -> tuple[str, str]:
+    """The quadrant of the points' own box that holds fewest of them, for a legend; of equals, the upper, then the left one."""
+    known = [p for p in points if math.isfinite(p[0]) and math.isfinite(p[1])]
+    mid = [(min(v) + max(v)) / 2 if v else 0.0 for v in (list(c) for c in zip(*known, strict=True))] or [0.0, 0.0]
+    held = Counter(("upper" if y > mid[1] else "lower", "right" if x > mid[0] else "left") for x, y in known)
+    return min(product(("upper", "lower"), ("left", "right")), key=lambda q: held[q])

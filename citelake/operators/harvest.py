@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -33,15 +33,18 @@ class Provenance:
     versions: tuple[str, ...] | None = None
     paging: str | None = None
     total_results: float | None = None
+    quota_remaining: int | None = None
 
     @staticmethod
     def merge(parts: Sequence[Provenance]) -> Provenance:
         """Earliest stamp, all versions, a common paging; each only if every part has it."""
         stamps, versions, pagings = [p.retrieved_at for p in parts], [p.versions for p in parts], {p.paging for p in parts}
+        left = [p.quota_remaining for p in parts if p.quota_remaining is not None]
         return Provenance(
             min(stamps) if stamps and None not in stamps else None,
             tuple(sorted({v for vs in versions for v in vs})) if versions and None not in versions else None,
             pagings.pop() if len(pagings) == 1 else None,
+            quota_remaining=min(left, default=None),
         )
 
 
@@ -93,6 +96,8 @@ class Manifest:
     retrieved_at: str | None = None
     version: str = VERSION
     folder: str = "records"
+    quota_remaining: int | None = None
+    paging: str = "offset"
 
     def answers(self, cell: Cell, limit: int | None) -> bool:
         """Whether the checkpoint holds what the cell asks for: same request, and whole or capped no lower."""
@@ -125,7 +130,7 @@ def run_plan(spark: SparkSession, plan: SearchPlan, cache_dir: str, url: str, ma
         parts.append(records)
         totals.append(CellTotal(cell.cell, cell.date, min(manifest.n_records, limit or manifest.n_records), manifest.total_results))
         stamp = datetime.fromisoformat(manifest.retrieved_at) if manifest.retrieved_at else None
-        provenances.append(Provenance(stamp, (manifest.version,), "offset"))
+        provenances.append(Provenance(stamp, (manifest.version,), manifest.paging, quota_remaining=manifest.quota_remaining))
     reported = [t.reported_total for t in totals]
     merged = replace(Provenance.merge(provenances), total_results=None if None in reported else float(sum(reported)))
     return Harvest(sets.bind(parts), merged, plan, tuple(totals))
@@ -147,20 +152,37 @@ def _cached(folder: Folder, cell: Cell, limit: int | None) -> Manifest | None:
     return manifest
 
 
-def _fetch(spark: SparkSession, folder: Folder, cell: Cell, limit: int | None, url: str, options: dict) -> Manifest:
-    place = f"records-{uuid.uuid4().hex}"  # what an earlier harvest reads stays as it is
+def _fetch(spark: SparkSession, folder: Folder, cell: Cell, limit: int | None, url: str, options: dict, cursor: bool = False) -> Manifest:
+    """The cell's pages, asked for once and written; the total and the quota are read off them."""
+    place, paging = f"records-{uuid.uuid4().hex}", "cursor" if cursor else "offset"  # what an earlier harvest reads stays as it is
     asked = {"url": url, "query": cell.query, "date": cell.date, "view": cell.view, "pageSize": cell.page_size, **options}
-    total = json.loads(read_search(spark, **asked, mode="count").first()["entry"])["total"]
-    warn_capped(total, limit, int(options.get("hardCap", HARD_CAP)))
-    pages = read_search(spark, **asked, maxResults=limit)
-    entries_to_records(pages, cell.query, cell.view).write.parquet(folder.path(place))  # paid pages are read once
-    n = spark.read.parquet(folder.path(place)).count()
+    read_search(spark, **asked, mode=paging, maxResults=limit, marker=True).write.parquet(folder.path(f"pages-{place}"))
+    pages = spark.read.parquet(folder.path(f"pages-{place}"))
+    known = pages.agg(F.max("total").alias("total"), F.min("remaining").alias("remaining"), F.count("entry").alias("n")).first()
+    entries_to_records(pages.where("entry IS NOT NULL"), cell.query, cell.view).write.parquet(folder.path(place))
+    total, n = known["total"], known["n"]
+    if not cursor:
+        warn_capped(total, limit, int(options.get("hardCap", HARD_CAP)))
     complete = limit is None or n < limit or (total is not None and n >= total)
-    manifest = Manifest(cell.query, cell.date, cell.view, cell.page_size, limit, complete, n, total, datetime.now(UTC).isoformat(), folder=place)
+    manifest = Manifest(cell.query, cell.date, cell.view, cell.page_size, limit, complete, n, total, datetime.now(UTC).isoformat(), folder=place, quota_remaining=known["remaining"], paging=paging)
     folder.write_text("manifest.json", json.dumps(asdict(manifest)))
     return manifest
 
 
+def fetch_records(
+    spark: SparkSession, query: str, url: str, cache_dir: str, years: Iterable[int] | None = None, field: str | None = None, view: str = "STANDARD",
+    page_size: int | None = None, max_results: float | None = None, cursor: bool = False, **options: object,
+) -> Harvest:
+    """The records of one query, written under cache_dir, with their stamp, version, total and quota."""
+    plan, limit = SearchPlan.make(query, years, field, view, page_size), checked_limit(max_results)
+    cell = plan.cells()[0]
+    folder = Folder(spark, f"{cache_dir.rstrip('/')}/fetch-{uuid.uuid4().hex}")
+    manifest = _fetch(spark, folder, cell, limit, url, options, cursor)
+    shortfall(cell.cell, manifest.n_records, manifest.total_results, limit)
+    known = Provenance(datetime.fromisoformat(manifest.retrieved_at), (manifest.version,), manifest.paging, manifest.total_results, manifest.quota_remaining)
+    return Harvest(spark.read.parquet(folder.path(manifest.folder)), known)
+
+
 def count(spark: SparkSession, query: str, url: str, date: str | None = None, **options: object) -> float | None:
     """The number of matching records that the service reports."""
     row = read_search(spark, url=url, query=query, date=date, mode="count", **options).first()
@@ -174,7 +196,7 @@ def warn_capped(total: float | None, limit: int | None, ceiling: int = HARD_CAP)
 
 
 def fetch(spark: SparkSession, query: str, url: str, cursor: bool = False, max_results: float | None = None, **options: object) -> DataFrame:
-    """(position, entry) of one query; write it before using it twice."""
+    """The pages of one query as bibsearch gives them; write them before using them twice, or use fetch_records."""
     if not query.strip():
         raise BadInput("the query is blank")
     limit = checked_limit(max_results)

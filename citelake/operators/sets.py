@@ -34,6 +34,11 @@ def renumber(df: DataFrame, position: str = "entry_number", out: str = "entry_nu
 
 def bind(sets: Sequence[DataFrame]) -> DataFrame:
     """All rows of all sets in order, columns unioned by name, renumbered."""
+    return renumber(_placed(sets))
+
+
+def _placed(sets: Sequence[DataFrame]) -> DataFrame:
+    """All rows with entry_numbers that follow on from set to set, with gaps where a set has any."""
     if not sets:
         raise ValueError("nothing to bind")
     marked = [s.withColumn("_set", F.lit(i)) for i, s in enumerate(sets)]
@@ -42,7 +47,7 @@ def bind(sets: Sequence[DataFrame]) -> DataFrame:
     before = Window.orderBy("_set").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_set", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     moved = every.join(F.broadcast(offsets), "_set")  # a row for each set
-    return renumber(moved.withColumn("entry_number", F.col("entry_number") + F.col("_offset")).drop("_set", "_offset"))
+    return moved.withColumn("entry_number", F.col("entry_number") + F.col("_offset")).drop("_set", "_offset")
 
 
 def record_key() -> Column:
@@ -53,10 +58,10 @@ def record_key() -> Column:
 
 
 def first_of(df: DataFrame, key: Column, order: str = "entry_number") -> DataFrame:
-    """The first row of each key. Per-key minima are pre-aggregated, so a hot key costs no sort."""
-    keyed = df.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min(order).alias(order))
-    return df.join(first.select(order), order, "left_semi")
+    """The first row of each key, in one shuffle: minima of whole rows are pre-aggregated, so a hot key costs no sort."""
+    rest = [c for c in df.columns if c != order]
+    firsts = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(order, *rest), order).alias("r"))
+    return firsts.select(*(F.col(f"r.`{c}`") for c in df.columns))
 
 
 def dedupe(records: DataFrame) -> DataFrame:
@@ -64,8 +69,9 @@ def dedupe(records: DataFrame) -> DataFrame:
 
 
 def combine(sets: Sequence[DataFrame], remove_duplicates: bool = False) -> DataFrame:
-    every = bind(sets)
-    return dedupe(every) if remove_duplicates else every
+    """All rows of all sets, of records that are the same the first; numbered once, at the end."""
+    placed = _placed(sets)
+    return dedupe(placed) if remove_duplicates else renumber(placed)
 
 
 def accounting(sets: Sequence[DataFrame], combined: DataFrame) -> dict[str, int]:
@@ -74,6 +80,13 @@ def accounting(sets: Sequence[DataFrame], combined: DataFrame) -> dict[str, int]
     return {"n_in": n_in, "n_out": n_out, "n_removed": n_in - n_out}
 
 
+def accounting_table(sets: Sequence[DataFrame], combined: DataFrame) -> DataFrame:
+    """One row: n_in, n_out and n_removed, without a count on the driver."""
+    counts = [s.agg(F.count("*").alias("n")).withColumn("kind", F.lit("in")) for s in sets] + [combined.agg(F.count("*").alias("n")).withColumn("kind", F.lit("out"))]
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")))
+    return reduce(DataFrame.unionByName, counts).agg(of("in").alias("n_in"), of("out").alias("n_out"), (of("in") - of("out")).alias("n_removed"))
+
+
 def distinct_dois(records: DataFrame, remove_duplicates: bool = True) -> DataFrame:
     """(entry_number, doi): clean DOIs in input order; of equal ones ignoring case, the first."""
     found = records.select("entry_number", clean_doi(F.col("doi")).alias("doi")).where("doi IS NOT NULL")
@@ -101,8 +114,13 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 
 def capped_per_year(records: DataFrame, cap: int, years: tuple[int, int] | None = None) -> DataFrame:
-    """The first `cap` records of each year, renumbered; a feature of demonstrations."""
+    """The first `cap` records of each year, renumbered; a feature of demonstrations.
+
+    years: the span asked for. What of it lies outside the records' own years is cut off; a span wholly outside becomes the nearest year.
+    """
     if years:
-        records = records.where(F.col("year").between(*years))
+        own = records.agg(F.min("year").alias("_a"), F.max("year").alias("_b"))
+        clamp = lambda y: F.least(F.greatest(F.lit(y), "_a"), "_b")
+        records = records.join(F.broadcast(own)).where(F.col("year").between(clamp(years[0]), clamp(years[1]))).drop("_a", "_b")  # one row
     rank = F.row_number().over(Window.partitionBy("year").orderBy("entry_number"))
     return renumber(records.withColumn("_k", rank).where(F.col("_k") <= cap).drop("_k"))

@@ -5,16 +5,24 @@ Record sets come from orders and their customers, topic counts from line items a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelake.errors import DroppedRecords
 from citelake.functions import text
 from citelake.functions.stats import share
-from citelake.operators import analyse, export, sets
-from citelake.operators.normalise import entries_to_records
-from citelake.query import query
+from citelake.operators import abstracts, analyse, export, figures, harvest, report, sets
+from citelake.operators.normalise import drop_sentinel, entries_to_records
+from citelake.plans.search import SearchPlan
+from citelake.query import FIELD_TAGS, query, wrap, wrap_unless_tagged
+from citelake.sources import files
 
 FLAGSHIP = "topic_share"
+PLAN = SearchPlan.make("graphene", range(1994, 1998), "title", partition="year")
 YEARS = range(1995, 2002)
 REFERENCE, TERMS = query("widget"), [query("red"), query("blue")]
 CONCEPTS = {"red": query("red"), "blue": query("blue"), "widget": query("widget")}
@@ -95,13 +103,16 @@ def topic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping pulls of the same search: the early years, and the later entries."""
+    """Two pulls of the same search: all records, and all of them again with every fifth DOI new and every fourth id missing."""
     every = records(spark, sf_dir)
-    return sets.renumber(every.where("year <= 1998")), sets.renumber(every.where("entry_number > 9000"))
+    number = F.col("entry_number")
+    doi = F.when(number % 5 == 0, F.concat(F.lit("10.2/"), number.cast("string"))).otherwise(F.col("doi"))
+    return every, every.withColumn("doi", doi).withColumn("record_id", F.when(number % 4 != 0, F.col("record_id")))
 
 
 SLICES = """
-    , old AS (SELECT * FROM records WHERE year <= 1998), new AS (SELECT * FROM records WHERE entry_number > 9000),
+    , old AS (SELECT * FROM records),
+    new AS (SELECT * REPLACE (CASE WHEN entry_number % 5 = 0 THEN concat('10.2/', entry_number) ELSE doi END AS doi, CASE WHEN entry_number % 4 <> 0 THEN record_id END AS record_id) FROM records),
     both_ AS (SELECT 0 AS s, * FROM old UNION ALL SELECT 1, * FROM new),
     bound AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY s, entry_number) AS INTEGER) AS entry_number) FROM both_),
     keyed AS (SELECT *, coalesce('id:' || record_id, 'doi:' || lower(doi), 'row:' || entry_number) AS k FROM bound),
@@ -164,7 +175,141 @@ def topic_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def year_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyse.year_counts(records(spark, sf_dir).where("year <> 1997"))
+    """All records; those of 1997 have lost their year, which leaves a gap."""
+    every = records(spark, sf_dir)
+    return analyse.year_counts(every.withColumn("year", F.when(F.col("year") != 1997, F.col("year"))))
+
+
+# -- sources, sinks, plans and figures over the same tables ---------------------------------------
+
+
+def plan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PLAN.table(spark)
+
+
+def plan_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in the plan's years, by its half-open range over the timestamp."""
+    inside = _table(spark, sf_dir, "orders").where(PLAN.predicate(F.col("o_orderdate")))
+    return inside.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+
+
+def complete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the view that has author keywords; every third event has none."""
+    entries = events_as_entries(spark, sf_dir)
+    marked = F.when(F.col("position") % 3 != 0, F.regexp_replace("entry", r"\}$", ',"authkeywords":"alpha | beta"}')).otherwise(F.col("entry"))
+    made = entries_to_records(entries.withColumn("entry", marked), "TITLE(events)", "COMPLETE")
+    return made.select("record_id", "title", "authkeywords")
+
+
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pages of up to three entries: every fourth has an error field, every second an id; lone errors go."""
+    events, k = _table(spark, sf_dir, "events"), F.col("event_id")
+    error, known = F.when(k % 4 == 0, '"error":"none"'), F.when(k % 2 == 0, F.concat(F.lit('"dc:identifier":"'), k.cast("string"), F.lit('"')))
+    entry = F.concat(F.lit("{"), F.concat_ws(",", F.lit('"dc:title":"x"'), error, F.when(k % 8 != 0, known)), F.lit("}"))
+    page = F.when(k % 16 == 0, -k).otherwise(F.floor(k / 3))  # every sixteenth is a page of its own
+    return drop_sentinel(events.select(page.alias("page"), k.alias("position"), F.parse_json(entry).alias("entry"))).select("page", "position")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, answer): parts as abstracts in the service's shape, with a keyword list and one reference or two."""
+    part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = k.cast("string")
+    item = lambda kind, value: F.concat(F.lit(f'{{"@idtype":"{kind}","$":"'), value, F.lit('"}'))
+    reference = F.concat(
+        F.lit('{"@id":"1","ref-info":{"ref-authors":{"author":[{"ce:surname":"Roe","ce:initials":"R."},{"ce:surname":"Poe"}]},"refd-itemidlist":{"itemid":['),
+        item("SGR", text), F.lit(","), item("DOI", F.concat(F.lit("10.3/"), text)), F.lit(']},"ref-title":{"ref-titletext":"'), "p_type",
+        F.lit('"},"ref-sourcetitle":"J","ref-publicationyear":{"@first":"'), (1950 + k % 70).cast("string"), F.lit('"}}}'),
+    )
+    lone = F.lit('{"@id":"2","ref-info":{"refd-itemidlist":{"itemid":{"@idtype":"DOI","$":"10.4/x"}}}}')
+    listed = F.when(k % 3 == 0, F.concat(F.lit("["), reference, F.lit(","), lone, F.lit("]"))).otherwise(reference)
+    words = F.when(k % 4 == 0, F.lit("null")).when(k % 4 == 1, F.concat(F.lit('{"author-keyword":{"$":"'), "p_brand", F.lit('"}}'))).otherwise(F.concat(F.lit('{"author-keyword":[{"$":"'), "p_brand", F.lit('"},{"$":""},{"$":"'), "p_type", F.lit('"}]}')))
+    answer = F.concat(
+        F.lit('{"abstracts-retrieval-response":{"coredata":{"dc:identifier":"SCOPUS_ID:'), text, F.lit('","prism:doi":"10.1/'), text, F.lit('","dc:title":"'), "p_name",
+        F.lit('","dc:description":"About '), "p_type", F.lit('","prism:publicationName":"'), "p_brand", F.lit('","prism:coverDate":"'), (1990 + k % 30).cast("string"), F.lit('-05-01","citedby-count":"'), F.col("p_size").cast("string"),
+        F.lit('"},"authkeywords":'), words, F.lit(',"item":{"bibrecord":{"tail":{"bibliography":{"@refcount":"2","reference":'), listed, F.lit("}}}}}}"),
+    )
+    return part.select(F.concat(F.lit("10.1/"), text).alias("id"), answer.alias("answer"))
+
+
+def abstract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = abstracts.abstracts_of(answers(spark, sf_dir), "FULL", ("keywords", "references"))
+    first = F.get("references", F.lit(0))
+    return made.select(
+        "id", "record_id", "doi", "title", "abstract", "publication", "year", "citations", "authkeywords", F.size("references").cast("long").alias("n_references"), "reported_references",
+        *(first[c].alias(f"first_{c}") for c in ("id", "doi", "title", "authors", "source", "year", "citedbycount")), F.get("references", F.lit(1))["doi"].alias("second_doi"),
+    )
+
+
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a DOI, enriched by what parts say about it; records that share one keep their own rows."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DroppedRecords)  # records without a DOI are left out, as they should be
+        found = abstracts.abstracts_of(answers(spark, sf_dir), "FULL", ("keywords", "references"))
+        every = records(spark, sf_dir).withColumn("doi", text.clean_doi(F.col("doi")))
+        made = abstracts.corpus(every, found)
+    return made.select("entry_number", "id", "title", "year", F.array_join("keywords", "|").alias("keywords"), F.size("references").cast("long").alias("n_references"))
+
+
+def share_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.share_lines(comparison(spark, sf_dir))
+
+
+def size_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.positive_sizes(analyse.concept_sizes(literature(spark, sf_dir), CONCEPTS | {"none": query("no such word")}, INTERSECTIONS, _fields()))
+
+
+def label_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = comparison(spark, sf_dir).where("query_type = 'comparison'").select("abridged_query", "year", F.col("comparison_percentage").alias("v"))
+    return figures.spread_labels(ends.where("v IS NOT NULL").withColumn("v", F.col("v") + F.col("year") / 1e6), "v", 0.5)
+
+
+def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pulls = slices(spark, sf_dir)
+    return sets.accounting_table(pulls, sets.combine(pulls, remove_duplicates=True))
+
+
+def diff_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered diff, with each status' place."""
+    ordered = sets.ordered_diff(sets.doi_diff(*slices(spark, sf_dir)))
+    return ordered.select("doi", "status", F.array_position(F.array(*map(F.lit, sets.STATUS_ORDER)), F.col("status")).cast("int").alias("place"))
+
+
+def raw_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's columns, all text, some missing and some too many, in the fixed schema."""
+    orders = _table(spark, sf_dir, "orders")
+    year = F.when(F.col("o_orderkey") % 9 == 0, "unknown").otherwise(F.year("o_orderdate").cast("string"))
+    raw = orders.select(F.col("o_orderkey").cast("string").alias("entry_number"), year.alias("year"), F.col("o_totalprice").cast("string").alias("citations"), F.col("o_orderpriority").alias("title"), F.lit("x").alias("surplus"))
+    return files.coerced(raw)
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as CSV in the shared folder and read back."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{named or tempfile.gettempdir()}/citelake-files/{uuid.uuid4().hex}.csv"
+    files.write_records(harvest.Harvest(records(spark, sf_dir)), path)
+    return files.read_records(spark, path).records
+
+
+def added_harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = (harvest.Harvest(s) for s in slices(spark, sf_dir))
+    return (old + new).records.select("entry_number", "record_id", "doi")
+
+
+def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's checklist items for a harvest of all records, and who supplies each."""
+    made = report.search_report(harvest.Harvest(records(spark, sf_dir)), PLAN)
+    return spark.createDataFrame([(i.item, i.name, i.source) for i in made.prisma], "item int, name string, source string")
+
+
+def trend_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topic_years(spark, sf_dir).groupBy("query").agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
+
+
+def clamped_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three records of each year asked for, within the records' own span."""
+    return sets.capped_per_year(records(spark, sf_dir), 3, (1980, 1995))
 
 
 def ordered_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +343,26 @@ QUERIES = {
     "cell_totals": cell_totals,
     "reported_total": reported_total,
     "bind_union_columns": bind_union_columns,
+    "plan_cells": plan_cells,
+    "plan_years": plan_years,
+    "complete_records": complete_records,
+    "result_pages": result_pages,
+    "abstract_rows": abstract_rows,
+    "corpus_rows": corpus_rows,
+    "share_chart": share_chart,
+    "size_chart": size_chart,
+    "label_places": label_places,
+    "merge_counts": merge_counts,
+    "diff_in_order": diff_in_order,
+    "raw_strings": raw_strings,
+    "csv_round_trip": csv_round_trip,
+    "added_harvests": added_harvests,
+    "checklist": checklist,
+    "trend_totals": trend_totals,
+    "clamped_demo": clamped_demo,
+    "plain_text": lambda s, d: _table(s, d, "documents").select("doc_id", text.plain_text(F.col("text")).alias("plain")),
+    "file_safe": lambda s, d: _table(s, d, "pages").select("page_id", text.file_safe(F.col("url")).alias("name")),
+    "wrapped_terms": lambda s, d: s.createDataFrame([(t, wrap_unless_tagged(t, "ALL"), wrap(t, "ALL")) for t in FIELD_TAGS], "tag string, once string, wrapped string").withColumn("tagged", F.col("once") == F.col("tag")),
     "yearly_share": lambda s, d: records(s, d).groupBy("year").agg(share(F.count_if(F.col("citations") > 100), F.count("*")).alias("cited_share")),
 }
 
@@ -215,7 +380,7 @@ _ESC = lambda c: ESCAPE_SQL.replace("replace(t,", f"replace({c},", 1)  # noqa: E
 ORACLES = {
     "top_sources": f"{WITH} SELECT trim(publication) AS value, CAST(count(*) AS INTEGER) AS n FROM records WHERE trim(publication) <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
     "top_authors": f"{WITH}, a AS (SELECT trim(unnest(string_split(authors, '; '))) AS value FROM records) SELECT value, CAST(count(*) AS INTEGER) AS n FROM a WHERE value <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
-    "year_counts": f"{WITH}, r AS (SELECT * FROM records WHERE year <> 1997), y AS (SELECT unnest(generate_series((SELECT min(year) FROM r), (SELECT max(year) FROM r))) AS year) SELECT CAST(y.year AS INTEGER) AS year, CAST(count(r.year) AS INTEGER) AS n FROM y LEFT JOIN r USING (year) GROUP BY 1",
+    "year_counts": f"{WITH}, r AS (SELECT * REPLACE (CASE WHEN year <> 1997 THEN year END AS year) FROM records), y AS (SELECT unnest(generate_series((SELECT min(year) FROM r), (SELECT max(year) FROM r))) AS year) SELECT CAST(y.year AS INTEGER) AS year, CAST(count(r.year) AS INTEGER) AS n FROM y LEFT JOIN r USING (year) GROUP BY 1",
     "records_summary": f"""{WITH}, s AS (SELECT publication, count(*) AS n FROM records GROUP BY 1)
         SELECT count(*) AS n_records, min(year) AS year_min, max(year) AS year_max, count(doi) AS n_with_doi, CAST(sum(citations) AS BIGINT) AS citations_total,
                (SELECT title FROM records WHERE citations IS NOT NULL ORDER BY citations DESC, entry_number LIMIT 1) AS top_cited, median(citations) AS citations_median,
@@ -256,3 +421,43 @@ ORACLES = {
     "yearly_share": f"{WITH} SELECT year, 100.0::DOUBLE * count(*) FILTER (WHERE citations > 100) / count(*) AS cited_share FROM records GROUP BY 1",
 }
 ORACLES["doi_diff_counts"] = f"SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged FROM ({ORACLES['doi_diff']})"
+SHARE_BAND = ORACLES["wilson_band"]
+ORACLES |= {
+    "plan_cells": "SELECT CAST(y - 1993 AS INTEGER) AS cell, 'TITLE(graphene)' AS query, CAST(y AS VARCHAR) AS date, CAST(y AS INTEGER) AS year, 'STANDARD' AS view, CAST(200 AS INTEGER) AS page_size FROM range(1994, 1998) t(y)",
+    "plan_years": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1997 GROUP BY 1",
+    "complete_records": "SELECT CAST(event_id AS VARCHAR) AS record_id, event_type AS title, CASE WHEN event_id % 3 <> 0 THEN 'alpha | beta' END AS authkeywords FROM events",
+    "result_pages": """WITH e AS (SELECT CASE WHEN event_id % 16 = 0 THEN -event_id ELSE CAST(floor(event_id / 3) AS BIGINT) END AS page, event_id AS position, event_id % 4 = 0 AND event_id % 8 = 0 AS lone FROM events)
+        SELECT page, position FROM e QUALIFY NOT (count(*) OVER (PARTITION BY page) = 1 AND lone)""",
+    "abstract_rows": """SELECT '10.1/' || p_partkey AS id, CAST(p_partkey AS VARCHAR) AS record_id, '10.1/' || p_partkey AS doi, p_name AS title, 'About ' || p_type AS abstract, p_brand AS publication,
+        CAST(1990 + p_partkey % 30 AS INTEGER) AS year, CAST(p_size AS INTEGER) AS citations, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_brand ELSE p_brand || '; ' || p_type END AS authkeywords,
+        CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_references, CAST(2 AS INTEGER) AS reported_references, CAST(p_partkey AS VARCHAR) AS first_id, '10.3/' || p_partkey AS first_doi, p_type AS first_title,
+        'Roe, R.; Poe' AS first_authors, 'J' AS first_source, CAST(1950 + p_partkey % 70 AS INTEGER) AS first_year, CAST(NULL AS INTEGER) AS first_citedbycount, CASE WHEN p_partkey % 3 = 0 THEN '10.4/x' END AS second_doi FROM part""",
+    "corpus_rows": f"""{WITH}, r AS (SELECT entry_number, {CLEAN_SQL} AS id, title, year FROM records)
+        SELECT r.entry_number, r.id, r.title, r.year, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_brand WHEN 2 THEN p_brand || '|' || p_type WHEN 3 THEN p_brand || '|' || p_type ELSE '' END AS keywords,
+               CAST(CASE WHEN p_partkey IS NULL THEN 0 WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_references
+        FROM r LEFT JOIN part ON r.id = '10.1/' || p_partkey WHERE r.id IS NOT NULL""",
+    "share_chart": f"""WITH b AS ({SHARE_BAND}) SELECT *, sum(n) OVER (PARTITION BY abridged_query) AS topic_total, year = max(year) OVER () AS last_year FROM b
+        WHERE query_type = 'comparison' AND comparison_percentage IS NOT NULL""",
+    "size_chart": f"SELECT * FROM ({ORACLES['concept_sizes']}) WHERE n > 0",
+    "label_places": f"""{COUNTED}, e AS (SELECT abridged_query, year, comparison_percentage + year / 1e6::DOUBLE AS v FROM comparison WHERE query_type = 'comparison' AND comparison_percentage IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (ORDER BY v) - 1 AS k FROM e)
+        SELECT abridged_query, year, v, max(v - 0.5::DOUBLE * k) OVER (ORDER BY k) + 0.5::DOUBLE * k AS label_at FROM r""",
+    "merge_counts": f"{WITH} {SLICES} SELECT (SELECT count(*) FROM bound) AS n_in, (SELECT count(*) FROM kept) AS n_out, (SELECT count(*) FROM bound) - (SELECT count(*) FROM kept) AS n_removed",
+    "diff_in_order": f"SELECT doi, status, CAST(CASE status WHEN 'added' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END AS INTEGER) AS place FROM ({ORACLES['doi_diff']})",
+    "raw_strings": """SELECT CAST(o_orderkey AS INTEGER) AS entry_number, CAST(NULL AS VARCHAR) AS record_id, CAST(NULL AS VARCHAR) AS doi, o_orderpriority AS title, CAST(NULL AS VARCHAR) AS authors,
+        CAST(CASE WHEN o_orderkey % 9 <> 0 THEN year(o_orderdate) END AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS publication, CAST(trunc(o_totalprice) AS INTEGER) AS citations, CAST(NULL AS VARCHAR) AS query FROM orders""",
+    "csv_round_trip": f"{WITH} SELECT {RECORD_COLUMNS} FROM records",
+    "added_harvests": f"{WITH} {SLICES} SELECT entry_number, record_id, doi FROM bound",
+    "checklist": "SELECT CAST(i AS INTEGER) AS item, name, CASE WHEN i IN (1, 8, 9, 15) THEN 'record' ELSE 'author' END AS source FROM (SELECT unnest(range(1, 17)) AS i, unnest(["
+    + ", ".join(f"'{n}'" for n in report.ITEMS)
+    + "]) AS name)",
+    "trend_totals": f"WITH {LITERATURE} SELECT 'widget' AS query, CAST(count(*) AS DOUBLE) AS total FROM lit WHERE contains(lower(title), 'widget') AND (year BETWEEN 1995 AND 2001 OR year = 2005)",
+    "clamped_demo": f"""{WITH}, span AS (SELECT min(year) AS a, max(year) AS b FROM records),
+        k AS (SELECT records.* FROM records, span WHERE year BETWEEN least(greatest(1980, a), b) AND least(greatest(1995, a), b) QUALIFY row_number() OVER (PARTITION BY year ORDER BY entry_number) <= 3)
+        SELECT {RECORD_COLUMNS.replace('entry_number', 'CAST(row_number() OVER (ORDER BY entry_number) AS INTEGER) AS entry_number', 1)} FROM k""",
+    "plain_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(text, chr(8208) || chr(8209), '--'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS plain FROM documents",
+    "file_safe": "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') AS name FROM pages",
+    "wrapped_terms": "SELECT t AS tag, 'ALL(' || t || ')' AS once, 'ALL(' || t || ')' AS wrapped, false AS tagged FROM (SELECT unnest(["
+    + ", ".join(f"'{t}'" for t in FIELD_TAGS)
+    + "]) AS t)",
+}

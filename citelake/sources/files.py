@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from citelake.errors import BadInput
 from citelake.functions.text import whole_number
-from citelake.operators.harvest import Harvest, Provenance
+from citelake.operators.harvest import CellTotal, Harvest, Provenance
+from citelake.plans.search import SearchPlan
+from citelake.operators.report import SearchReport
 from citelake.schema import KEYWORDS, RECORDS, is_records
 from citelake.sources.storage import Folder
 
@@ -34,8 +36,9 @@ def write_records(harvest: Harvest, path: str) -> None:
         _csv(harvest.records.orderBy("entry_number"), path)
         return
     harvest.records.write.mode("overwrite").parquet(path)
-    known = asdict(harvest.provenance)
-    known["retrieved_at"] = known["retrieved_at"].isoformat() if known["retrieved_at"] else None
+    known = {"provenance": asdict(harvest.provenance), "plan": asdict(harvest.plan) if harvest.plan else None, "cell_totals": [asdict(c) for c in harvest.cell_totals], "combined": harvest.combined}
+    stamp = harvest.provenance.retrieved_at
+    known["provenance"]["retrieved_at"] = stamp.isoformat() if stamp else None
     Folder(harvest.records.sparkSession, path).write_text("_provenance.json", json.dumps(known))
 
 
@@ -52,9 +55,14 @@ def read_records(spark: SparkSession, path: str) -> Harvest:
     if not is_records(records):
         raise BadInput(f"{path} holds no records")
     known = json.loads(text) if text else {}
-    stamp = datetime.fromisoformat(known["retrieved_at"]) if known.get("retrieved_at") else None
-    versions = tuple(known["versions"]) if known.get("versions") else None
-    return Harvest(records, Provenance(stamp, versions, known.get("paging"), known.get("total_results")))
+    source = dict(known.get("provenance") or {})
+    if source.get("retrieved_at"):
+        source["retrieved_at"] = datetime.fromisoformat(source["retrieved_at"])
+    source["versions"] = tuple(source["versions"]) if source.get("versions") else None
+    plan = dict(known["plan"]) if known.get("plan") else None
+    if plan and plan["years"]:
+        plan["years"] = tuple(plan["years"])
+    return Harvest(records, Provenance(**source), SearchPlan(**plan) if plan else None, tuple(CellTotal(**c) for c in known.get("cell_totals") or ()), known.get("combined"))
 
 
 def coerced(raw: DataFrame) -> DataFrame:
@@ -78,3 +86,11 @@ def write_dois(dois: DataFrame, path: str) -> None:
 def write_entries(entries: DataFrame, path: str) -> None:
     """A text folder of BibTeX or RIS entries in order, a blank line after each."""
     entries.orderBy("entry_number").select(F.concat("entry", F.lit("\n")).alias("value")).write.mode("overwrite").text(path, lineSep="\n")
+
+
+def write_report(report: SearchReport, spark: SparkSession, path: str, style: str = "report") -> None:
+    """The rendered report as one UTF-8 file."""
+    if not isinstance(path, str) or not path.strip():
+        raise BadInput("a path is a non-empty string")
+    folder, _, name = path.rpartition("/")
+    Folder(spark, folder or ".").write_text(name, report.render(style))

@@ -8,7 +8,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
@@ -68,6 +68,7 @@ class Service:
     timeout: float | None = TIMEOUT
     max_tries: int = MAX_TRIES
     pause: float = 1.0
+    backoff: Callable[[int], float] | None = None  # seconds to wait after the n-th failure; else the pause, doubled each time
 
     def headers(self) -> dict[str, str]:
         key = self.api_key or os.environ.get("SCOPUS_API_KEY")
@@ -89,7 +90,8 @@ class Service:
                 quota = quota_of(dict(error.headers))
                 if error.code not in TRANSIENT or attempt == self.max_tries:
                     raise of_status(error.code, quota) from None
-                time.sleep(quota.retry_after if quota.retry_after is not None else self.pause * 2 ** (attempt - 1))
+                own = self.backoff(attempt) if self.backoff else self.pause * 2 ** (attempt - 1)
+                time.sleep(quota.retry_after if quota.retry_after is not None else own)
             except (urllib.error.URLError, TimeoutError, ConnectionError) as error:
                 raise Offline(f"the service can't be reached: {type(error).__name__}") from None
         raise SearchError("no answer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+from collections.abc import Callable
 from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
@@ -14,8 +15,9 @@ def entry(k: int) -> dict:
 
 
 @contextmanager
-def service(total: int = 450, say_total: bool = True, fail_first: int = 0, status: int = 429, runaway: bool = False, body: bytes | None = None):
+def service(total: int = 450, say_total: bool = True, fail_first: int = 0, status: int = 429, runaway: bool = False, body: bytes | None = None, answer: Callable[[dict], int] | None = None):
     asked: list[dict] = []
+    tell = answer
     failures = [fail_first]
 
     class Handler(BaseHTTPRequestHandler):
@@ -40,7 +42,7 @@ def service(total: int = 450, say_total: bool = True, fail_first: int = 0, statu
                 return self.answer(200, body)
             if "/doi/" in url.path or "/scopus_id/" in url.path:
                 return self.lookup(unquote(url.path))
-            n = total // 10 if q.get("date") else total
+            n = tell(q) if tell else total // 10 if q.get("date") else total
             count = int(q["count"])
             at = int(q.get("start", 0)) if "cursor" not in q else (0 if q["cursor"] == "*" else int(q["cursor"]))
             rows = [entry(k) for k in range(at, min(at + count, 10**9 if runaway else n))]

@@ -8,14 +8,17 @@ from citelake.operators import analyse, figures
 def test_axis_numbers():
     assert figures.log_breaks(0.55, 400) == [1.0, 3.0, 10.0, 30.0, 100.0, 300.0]
     assert figures.log_breaks(1, 10**5) == [10.0**k for k in range(6)]
-    low, high, ratio = figures.log_limits([10, 100])
-    assert (low, high) == (5.5, 400) and 1 < ratio < 1.2
+    low, high = figures.log_limits([10, 1000])
+    assert round(low, 6) == round(10**0.8, 6) and round(high, 6) == round(10**3.2, 6)
+    low, high = figures.log_limits([7])
+    assert low < 7 < high
     with pytest.raises(errors.BadInput):
         figures.log_limits([0])
     assert figures.year_breaks([2015, 2016]) == [2015, 2016] and figures.year_breaks(range(1980, 2021)) == [1980, 1990, 2000, 2010, 2020]
     assert figures.upper_limit([12.1, None]) == 15 and figures.upper_limit([99.5]) == 100
-    assert figures.emptiest_corner([(0, 0), (1, 0), (1, 1)], (0, 1), (0, 1)) == (0, 1)
-    assert figures.emptiest_corner([], (0, 1), (0, 1)) == (0, 1)
+    assert figures.free_quadrant([(0, 0), (1, 0), (1, 1)]) == ("upper", "left")
+    assert figures.free_quadrant([(0, 1), (1, 0), (1, 1), (float("nan"), 0)]) == ("lower", "left")
+    assert figures.free_quadrant([]) == ("upper", "left")
 
 
 def test_tables(spark):
