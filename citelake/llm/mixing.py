@@ -17,8 +17,8 @@ rate is above 1, and the targets are relative to the anchor's tokens: others are
 never raised.
 
 Defined cases: a null text counts as empty (no tokens; its rate follows its posteriors); repeated
-rows count as often as they occur; a domain with no expected tokens can't be reached and is left
-out of the fit; without labels all posteriors are equal; an empty table gives an empty table;
+rows count as often as they occur; a domain whose target is MOST_RAISE times its expected tokens or more
+can't be reached and is left out of the fit, with a warning, and the others share its target; without labels all posteriors are equal; an empty table gives an empty table;
 input columns with the names of the output's are replaced. realise draws by a hash of id and text, so
 rows with null or repeated ids draw by their texts, and equal rows alike.
 """
@@ -43,6 +43,7 @@ DOMAINS = ("low", "low_toxic", "good", "good_toxic")
 TARGETS = {"low": 0.06, "low_toxic": 0.01, "good": 0.90, "good_toxic": 0.03}
 ITERATIONS = 100
 TOLERANCE = 1e-5  # of all tokens
+MOST_RAISE = 50  # times its tokens that a domain's target may be
 PULL = 1e-6
 
 
@@ -100,7 +101,9 @@ def fit_rates(table: DataFrame, targets: np.ndarray, anchor: int | None = None)
     if not total:
         return rates
     share = share / total
-    open_ = share > 1e-9
+    open_ = share * MOST_RAISE > targets
+    if left_out := [int(k) for k in np.flatnonzero(~open_ & (targets > 0))]:
+        warnings.warn(f"domains {left_out} have too few expected tokens for their targets and are left out", stacklevel=2)
     goal = np.where(open_, targets, 0.0)
     goal = goal / goal.sum() if goal.sum() else share
     if anchor is not None and goal[anchor]:
