@@ -53,6 +53,18 @@ def file_safe(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9]+", "_")
 
 
+def html_escaped(c: Column) -> Column:
+    """Text that HTML shows as it is, in elements and in quoted attributes."""
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(plain), F.lit(shown))
+    return c
+
+
+def without_ansi(c: Column) -> Column:
+    """Text without the terminal's colour and cursor codes."""
+    return F.regexp_replace(c, "\u001b\\[[0-9;?]*[A-Za-z]", "")
+
+
 def names(c: Column) -> Column:
     """The non-blank names of a "; " list, trimmed; an empty array for none."""
     parts = F.filter(F.transform(F.split(c, "; "), trimmed), lambda x: x != "")

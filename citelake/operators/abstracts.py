@@ -23,7 +23,7 @@ from citelake.sources.storage import Folder
 from citelake.sources.transport import Service
 
 VIEWS = ("META", "META_ABS", "REF", "FULL")
-ROW = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ABSTRACTS.fields)}, authkeywords string, references array<{REFERENCE.simpleString()}>, reported_references int, status string"
+ROW = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ABSTRACTS.fields)}, authkeywords string, references array<{REFERENCE.simpleString()}>, reported_references int, status string, remaining int"
 
 
 def checked_extras(include: Sequence[str], view: str | None) -> tuple[str, ...]:
@@ -124,6 +124,7 @@ def abstracts_of(answers: DataFrame, view: str | None = None, include: Sequence[
 def lookup(ids: DataFrame, service: Service, by: str = "doi", view: str | None = None, include: Sequence[str] = (), parallel: int = 4) -> DataFrame:
     """A row for each row of ids (column id); a failed one has only id and its error in status.
 
+    remaining is what the service said after the request about the quota.
     parallel bounds the requests made at a time. A partition stops at the first refusal (403).
     """
     extras = checked_extras(include, view)
@@ -142,7 +143,8 @@ def lookup(ids: DataFrame, service: Service, by: str = "doi", view: str | None =
                 try:
                     if refused:
                         raise Forbidden("not asked after a refusal", 403)
-                    row = abstract_row(key, service.lookup(by, key, view)[0], view, extras)
+                    found, quota = service.lookup(by, key, view)
+                    row = abstract_row(key, found, view, extras) | {"remaining": quota.remaining}
                 except SearchError as error:
                     refused = refused or isinstance(error, Forbidden)
                     row["status"] = type(error).__name__

@@ -140,7 +140,7 @@ def _cached(folder: Folder, cell: Cell, limit: int | None) -> Manifest | None:
     try:
         text = folder.read_text("manifest.json")
         if text is None:
-            return None
+            return _unsigned(folder, cell)
         manifest = Manifest(**json.loads(text))
         folder.spark.read.parquet(folder.path(manifest.folder)).schema  # noqa: B018  Spark is lazy: touch it now
     except (OSError, ValueError, TypeError, PySparkException):
@@ -152,6 +152,17 @@ def _cached(folder: Folder, cell: Cell, limit: int | None) -> Manifest | None:
     return manifest
 
 
+def _unsigned(folder: Folder, cell: Cell) -> Manifest | None:
+    """A checkpoint of records without a manifest, as earlier versions left them: whole, if all its records answer the cell's query."""
+    if not folder.exists("records/_SUCCESS"):
+        return None
+    found = folder.spark.read.parquet(folder.path("records")).agg(F.count("*").alias("n"), F.count_if(~F.col("query").eqNullSafe(cell.query)).alias("other")).first()
+    if found["other"]:
+        warnings.warn(f"the checkpoint {folder.root} answers another request; its cell is fetched again", CacheMismatch, stacklevel=4)
+        return None
+    return Manifest(cell.query, cell.date, cell.view, cell.page_size, None, True, found["n"])
+
+
 def _fetch(spark: SparkSession, folder: Folder, cell: Cell, limit: int | None, url: str, options: dict, cursor: bool = False) -> Manifest:
     """The cell's pages, asked for once and written; the total and the quota are read off them."""
     place, paging = f"records-{uuid.uuid4().hex}", "cursor" if cursor else "offset"  # what an earlier harvest reads stays as it is

@@ -282,16 +282,35 @@ def raw_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.coerced(raw)
 
 
-def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written as CSV in the shared folder and read back."""
+def _shared_file(spark: SparkSession, end: str) -> str:
+    """A path in the folder that all executors share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{named or tempfile.gettempdir()}/citelake-files/{uuid.uuid4().hex}.csv"
+    return f"{named or tempfile.gettempdir()}/citelake-files/{uuid.uuid4().hex}{end}"
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as CSV in the shared folder and read back."""
+    path = _shared_file(spark, ".csv")
     files.write_records(harvest.Harvest(records(spark, sf_dir)), path)
     return files.read_records(spark, path).records
 
 
+def doi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct DOIs written as a list and read back."""
+    path = _shared_file(spark, "-dois")
+    files.write_dois(ordered_dois(spark, sf_dir), path)
+    return spark.read.csv(path, header=True)
+
+
+def ris_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each tag in a file of RIS entries."""
+    path = _shared_file(spark, ".ris")
+    files.write_entries(export.as_ris(records(spark, sf_dir)), path)
+    return spark.read.text(path).where("value <> ''").groupBy(F.substring("value", 1, 2).alias("tag")).agg(F.count("*").alias("n"))
+
+
 def added_harvests(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (harvest.Harvest(s) for s in slices(spark, sf_dir))
     return (old + new).records.select("entry_number", "record_id", "doi")
@@ -356,6 +375,10 @@ QUERIES = {
     "diff_in_order": diff_in_order,
     "raw_strings": raw_strings,
     "csv_round_trip": csv_round_trip,
+    "doi_file": doi_file,
+    "ris_file": ris_file,
+    "html_escaped": lambda s, d: _table(s, d, "pages").select("page_id", text.html_escaped(F.col("html")).alias("escaped")),
+    "without_ansi": lambda s, d: _table(s, d, "documents").select("doc_id", text.without_ansi(F.concat(F.lit("\x1b[31m"), "source", F.lit("\x1b[0m:"), "lang")).alias("plain")),
     "added_harvests": added_harvests,
     "checklist": checklist,
     "trend_totals": trend_totals,
@@ -447,6 +470,11 @@ ORACLES |= {
     "raw_strings": """SELECT CAST(o_orderkey AS INTEGER) AS entry_number, CAST(NULL AS VARCHAR) AS record_id, CAST(NULL AS VARCHAR) AS doi, o_orderpriority AS title, CAST(NULL AS VARCHAR) AS authors,
         CAST(CASE WHEN o_orderkey % 9 <> 0 THEN year(o_orderdate) END AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS publication, CAST(trunc(o_totalprice) AS INTEGER) AS citations, CAST(NULL AS VARCHAR) AS query FROM orders""",
     "csv_round_trip": f"{WITH} SELECT {RECORD_COLUMNS} FROM records",
+    "doi_file": f"SELECT doi FROM ({ORACLES['distinct_dois']})",
+    "ris_file": f"""{WITH} SELECT tag, n FROM (SELECT unnest(['TY', 'TI', 'AU', 'PY', 'JO', 'DO', 'N1', 'ER']) AS tag,
+        unnest([count(*), count(title), 2 * count(authors), count(year), count(publication), count(doi), count(record_id), count(*)]) AS n FROM records)""",
+    "html_escaped": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;') AS escaped FROM pages",
+    "without_ansi": "SELECT doc_id, source || ':' || lang AS plain FROM documents",
     "added_harvests": f"{WITH} {SLICES} SELECT entry_number, record_id, doi FROM bound",
     "checklist": "SELECT CAST(i AS INTEGER) AS item, name, CASE WHEN i IN (1, 8, 9, 15) THEN 'record' ELSE 'author' END AS source FROM (SELECT unnest(range(1, 17)) AS i, unnest(["
     + ", ".join(f"'{n}'" for n in report.ITEMS)

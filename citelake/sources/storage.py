@@ -17,6 +17,10 @@ class Folder:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def exists(self, name: str) -> bool:
+        system, path = self._at(name)
+        return system.exists(path)
+
     def read_text(self, name: str) -> str | None:
         """The file's text; None if there is none."""
         system, path = self._at(name)

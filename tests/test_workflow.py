@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from citelake import errors
 from citelake.operators import abstracts, harvest, report
@@ -87,6 +88,12 @@ def test_plan_run_checkpoints_and_report(spark, tmp_path):
         (tmp_path / "cell=002-2016" / "manifest.json").write_text("{")
         with pytest.warns(errors.CacheUnreadable):
             harvest.run_plan(spark, plan, str(tmp_path), url, resume=True, **KEY)
+        old = SearchPlan.make("old", [2015], partition="year")
+        made.records.withColumn("query", F.lit("old")).write.parquet(f"{tmp_path}/legacy/cell=001-2015/records")
+        asked.clear()
+        assert harvest.run_plan(spark, old, f"{tmp_path}/legacy", url, **KEY).records.count() == 135 and not asked
+        with pytest.warns(errors.CacheMismatch):
+            harvest.run_plan(spark, SearchPlan.make("new", [2015], partition="year"), f"{tmp_path}/legacy", url, **KEY)
     merged = harvest.combine([made, made], remove_duplicates=True)
     assert merged.combined == {"n_in": 270, "n_out": 45, "n_removed": 225, "deduplicated": True}
     assert (made + made).records.count() == 270
@@ -140,6 +147,7 @@ def test_abstracts_and_corpus(spark, tmp_path):
             got = {r["id"]: r for r in abstracts.abstracts(spark, ids, svc, str(tmp_path), view="FULL", include=["references", "keywords"]).collect()}
         assert got["10.1/a"]["abstract"] == "An abstract" and got["10.1/a"]["authkeywords"] == "alpha; beta" and got["10.1/a"]["record_id"] == "7"
         assert got["10.1/b"]["references"][0].asDict() == {"position": "1", "id": None, "doi": "10.1/r", "title": "Cited", "authors": "Roe, R.", "source": "J", "year": 1999, "citedbycount": None}
+        assert got["10.1/a"]["remaining"] == 19999 and got["10.1/missing"]["remaining"] is None
         assert got["10.1/missing"]["status"] == "NotFound" and got["10.1/missing"]["title"] is None
         before = len(asked)
         found = abstracts.abstracts(spark, ids, svc, str(tmp_path), view="FULL", include=["keywords", "references"])
