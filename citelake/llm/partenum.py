@@ -485,23 +485,27 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     info = materialise(known.join(listed, "gid").select("gid", "s.*"), "info")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
-    spent = [info]
+    spent = [lists, info]
     for few in ROUNDS:
         chosen = materialise(candidate_pairs(lists, info, labels, few), "pairs")
         pairs = chosen.where("b IS NOT NULL")
+        spent.append(chosen)
+        if labels is not None and pairs.isEmpty():
+            break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
         sets = materialise(elements_of(docs, rows, wanted), "elements")
         found = verify(pairs, sets)
         edges = materialise(found if edges is None else found.unionByName(edges), "links")
         labels = materialise(connected_components(edges), "labels")
-        spent += [chosen, sets, edges, labels]
+        spent += [sets, edges, labels]
         # two sets of a list have met in the first round, and all that may link where a later one left none out
         unfinished = lists.where("m > 2") if few == ROUNDS[0] else lists.join(chosen.where("b IS NULL").select(F.col("a").alias("lid")), "lid", "left_semi")
         if unfinished.isEmpty():
             break
         lists = unfinished
-    for table in spent[:-1]:
-        discard(table)
+    for table in spent:
+        if table is not labels:
+            discard(table)
     return _named(rows, labels).withColumnRenamed("_id", id_column)
 
 
