@@ -1,4 +1,4 @@
-"""Counts, shares and rankings over record sets: one pass over the input each, but for summary(), which reads it four times."""
+"""Counts, shares and rankings over record sets: one pass over the input each."""
 
 from __future__ import annotations
 
@@ -36,25 +36,36 @@ def year_counts(records: DataFrame) -> DataFrame:
 def summary(records: DataFrame) -> DataFrame:
     """One row: counts, year span, sum and exact median of citations, top record, modal source.
 
-    The median counts equal citations first, so a value's rows never meet in one task.
+    One scan counts the whole, each number of citations and each source at once (grouping sets, combined before the
+    shuffle); the median weighs equal citations, so a value's rows never meet in one task.
     """
     cited = F.when(F.col("citations").isNotNull(), F.struct("citations", (-F.col("entry_number")).alias("o"), F.col("title").alias("t")))
-    plain = records.agg(
-        F.count("*").alias("n_records"),
-        F.min("year").alias("year_min"),
-        F.max("year").alias("year_max"),
-        F.count("doi").alias("n_with_doi"),
-        F.coalesce(F.sum("citations"), F.lit(0)).alias("citations_total"),
-        F.max(cited)["t"].alias("top_cited"),
+    sets = records.groupingSets([[], ["citations"], ["publication"]], "citations", "publication").agg(
+        F.grouping_id().alias("g"),
+        F.count("*").alias("n"),
+        F.min("year").alias("a"),
+        F.max("year").alias("b"),
+        F.count("doi").alias("d"),
+        F.max(cited).alias("best"),
+    )
+    whole, value, source = F.col("g") == 3, (F.col("g") == 1) & F.col("citations").isNotNull(), (F.col("g") == 2) & F.col("publication").isNotNull()
+    counted = sets.select(
+        *(F.when(whole, F.col(c)).alias(c) for c in ("a", "b", "d", "best")), F.when(whole, F.col("n")).alias("n"),
+        F.when(value, F.col("citations")).alias("c"), F.when(value, F.col("n")).otherwise(0).alias("w"),
+        F.when(source, F.struct(F.col("n").alias("n"), F.col("publication").alias("p"))).alias("s"),
+    )
+    return counted.agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n_records"),
+        F.max("a").alias("year_min"),
+        F.max("b").alias("year_max"),
+        F.coalesce(F.max("d"), F.lit(0)).alias("n_with_doi"),
+        F.coalesce(F.sum(F.col("c") * F.col("w")), F.lit(0)).cast("long").alias("citations_total"),
+        F.max("best")["t"].alias("top_cited"),
+        F.expr("percentile(c, 0.5, w)").alias("citations_median"),
+        F.count("s").alias("n_sources"),
+        F.max("s.n").alias("top_source_n"),
+        F.min(F.when(F.col("s").isNotNull(), F.struct((-F.col("s.n")).alias("k"), F.col("s.p").alias("p"))))["p"].alias("top_source"),
     )
-    by_value = records.where("citations IS NOT NULL").groupBy("citations").agg(F.count("*").alias("w"))
-    median = by_value.agg(F.expr("percentile(citations, 0.5, w)").alias("citations_median"))
-    sources = records.where("publication IS NOT NULL").groupBy("publication").agg(F.count("*").alias("n"))
-    modal = sources.agg(F.count("*").alias("n_sources"), F.max("n").alias("top_source_n"))
-    best = sources.orderBy(F.desc("n"), "publication").limit(1).select(F.col("publication").alias("top_source"))
-    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  single rows, joined on a constant key
-    joined = reduce(lambda a, b: a.join(b, "_one", "left"), map(one, (plain, median, modal, best)))
-    return joined.drop("_one")
 
 
 def trend(matches: DataFrame, years: Sequence[int], label: str) -> DataFrame:
