@@ -108,6 +108,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, anchor: int | None = None)
     goal = goal / goal.sum() if goal.sum() else share
     if anchor is not None and goal[anchor]:
         goal = goal * share[anchor] / goal[anchor]
+        open_ = open_ & (np.arange(classes) != anchor)  # its documents stay as they are
     # posteriors sum to 1, so the weighted second moments have no eigenvalue above 1: a full step is never too long
     weight = np.where(open_, 1 / np.maximum(share, 1e-9), 0.0)
     pace, loss = 1.0, np.inf
