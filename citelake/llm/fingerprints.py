@@ -37,7 +37,7 @@ from citelake.llm.common import read_table
 
 LOW, HIGH = 0.002, 0.15
 SUBSETS, TWICE = 64, 8
-RANGE_ROWS, MOST_RANGES = 2000, 20_000
+RANGE_ROWS, MOST_RANGES = 500, 20_000
 SPREAD = 64  # ranges of an id with many rows, and of null ids
 LOOKUP = 1 << 12
 EMPTY = 0  # stands for a subset without terms; no hash has this value
@@ -99,19 +99,24 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _subsets(dealt: Column) -> Column:
-    """The hash of each subset's terms; dealt is sorted by subset, then term."""
-    own = F.transform(dealt, lambda x: x["s"])
-    parts = F.struct(own.alias("s"), F.reverse(own).alias("r"), F.transform(dealt, lambda x: x["t"]).alias("t"))
+    """The hash of each subset's terms; dealt is sorted by subset, then term, so a subset is one stretch of it."""
+    parts = F.struct(F.transform(dealt, lambda x: x["s"]).alias("s"), F.transform(dealt, lambda x: x["t"]).alias("t"))
 
-    def every(x: Column) -> Column:
-        def subset(j: Column) -> Column:
-            first, last = F.array_position(x["s"], j), F.size(x["s"]) + 1 - F.array_position(x["r"], j)
-            terms_of = F.slice(x["t"], first.cast("int"), (last - first + 1).cast("int"))
-            return F.when(F.array_contains(x["s"], j), _not_empty(F.xxhash64(terms_of))).otherwise(F.lit(EMPTY).cast("long"))
+    def begins(x: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(x["s"])), lambda i: ~F.get(x["s"], i - 1).eqNullSafe(F.get(x["s"], i - 2)))
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), subset)
+    def hashes(x: Column) -> Column:
+        def stretch(first: Column, k: Column) -> Column:
+            following = F.coalesce(F.get(x["f"], k + 1), F.size(x["s"]) + 1)
+            return _not_empty(F.xxhash64(F.slice(x["t"], first, following - first)))
 
-    return _bound(parts, every)
+        return F.map_from_arrays(F.transform(x["f"], lambda first: F.get(x["s"], first - 1)), F.transform(x["f"], stretch))
+
+    def every(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda j: F.coalesce(F.try_element_at(found, j), F.lit(EMPTY).cast("long")))
+
+    with_begins = lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t"), begins(x).alias("f"))
+    return _bound(_bound(_bound(parts, with_begins), hashes), every)
 
 
 def likeness(a: Column, b: Column) -> Column:
