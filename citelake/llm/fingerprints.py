@@ -6,13 +6,13 @@ counted exactly over all documents. As each document adds its distinct terms onc
 distinct terms a document) / LOW terms can reach the band, however large the corpus; so the lexicon
 has a proven bound and travels as one literal, bucketed by hash for a constant-time look-up.
 
-The SUBSETS randomised lexicon subsets overlap and together hold the whole lexicon: each term is dealt
-by its hash to one of them, and one term in TWICE to a second one. Subsets are many and small, as one
-changed term changes the hash of each subset that holds it. A document's distinct terms in a subset are sorted and hashed, and the
-fingerprint is the list of those hashes (0 for an empty subset). A document with no term in the
-lexicon is fingerprinted on all of its distinct terms, so equal texts always have equal
-fingerprints. The likeness of two fingerprints is the share of subsets, not empty in both, whose
-hashes agree; equal fingerprints have likeness 1.
+The SUBSETS randomised lexicon subsets overlap and together hold the whole lexicon: the upper bits of a
+term's hash deal it to one of them, and one term in TWICE is in a second one. Subsets are many and small,
+as one changed term changes the hash of each subset that holds it. A document's distinct terms in a subset
+are sorted and hashed, and the fingerprint is the list of those hashes, each with its subset in the upper bits. A
+document with no term in the lexicon is fingerprinted on all of its distinct terms, so equal texts always
+have equal fingerprints. The likeness of two fingerprints is the share of subsets, not empty in both,
+whose hashes agree; equal fingerprints have likeness 1.
 
 Terms are hashed to 64 bits. Each document meets the next one (descending doc_id) in a window over a
 quantile range of doc_id of about RANGE_ROWS documents (more where that would take over MOST_RANGES
@@ -37,10 +37,10 @@ from citelake.llm.common import read_table
 
 LOW, HIGH = 0.002, 0.15
 SUBSETS, TWICE = 64, 8
+SHIFT = 58  # the bits below a subset's number
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 SPREAD = 64  # ranges of an id with many rows, and of null ids
 LOOKUP = 1 << 12
-EMPTY = 0  # stands for a subset without terms; no hash has this value
 SEPARATORS = r"[\s\p{Punct}]+"
 
 
@@ -50,12 +50,16 @@ def terms(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def subsets_of(term: Column) -> Column:
-    """The subset or the two different subsets that hold a lexicon term."""
-    first = F.pmod(F.xxhash64(term, F.lit(9)), F.lit(SUBSETS))
-    draw = F.pmod(F.xxhash64(term, F.lit(10)), F.lit(TWICE * (SUBSETS - 1)))
-    second = F.pmod(first + 1 + draw, F.lit(SUBSETS))
-    return F.when(draw < SUBSETS - 1, F.array(first, second)).otherwise(F.array(first))
+def keys(known: Column) -> Column:
+    """The lexicon terms of a document by subset, sorted: a term's own hash, and its copies for a second subset."""
+    low = F.lit((1 << SHIFT) - 1)
+
+    def second(term: Column) -> Column:
+        other = F.shiftright(term, SHIFT) + 1 + F.pmod(F.shiftright(term, 3), F.lit(SUBSETS - 1))
+        return F.shiftleft(other.cast("long"), SHIFT).bitwiseOR(term.bitwiseAND(low))
+
+    twice = F.transform(F.filter(known, lambda t: t.bitwiseAND(F.lit(TWICE - 1)) == 0), second)
+    return F.sort_array(F.concat(known, twice))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -75,22 +79,16 @@ def lookup(found: DataFrame) -> Column:
 
 
 def fingerprint(text: Column, table: Column) -> Column:
-    """Array of SUBSETS hashes, or of one where no term is in the lexicon."""
+    """Array of the hashes of the subsets that aren't empty, or of one where no term is in the lexicon."""
 
     def known(term: Column) -> Column:
         return F.array_contains(F.element_at(table, (F.pmod(term, F.lit(LOOKUP)) + 1).cast("int")), term)
 
-    def of_terms(every: Column) -> Column:
-        deal = lambda t: F.transform(subsets_of(t), lambda s: F.struct(s.alias("s"), t.alias("t")))
-        dealt = F.array_sort(F.flatten(F.transform(F.filter(every, known), deal)))
-        whole = F.array(_not_empty(F.xxhash64(F.array_sort(every))))
-        return F.when(F.size(dealt) == 0, whole).otherwise(_bound(dealt, _subsets))
-
-    return _bound(terms(text), of_terms)
-
+    def of_keys(every: Column) -> Column:
+        found = _bound(keys(F.filter(every, known)), _subsets)
+        return _bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.xxhash64(F.sort_array(every)))))
 
-def _not_empty(value: Column) -> Column:
-    return F.when(value == EMPTY, F.lit(1).cast("long")).otherwise(value)
+    return _bound(terms(text), of_keys)
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -98,32 +96,29 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _subsets(dealt: Column) -> Column:
-    """The hash of each subset's terms; dealt is sorted by subset, then term, so a subset is one stretch of it."""
-    parts = F.struct(F.transform(dealt, lambda x: x["s"]).alias("s"), F.transform(dealt, lambda x: x["t"]).alias("t"))
+def _subset(key: Column) -> Column:
+    return F.shiftright(key, SHIFT)
 
-    def begins(x: Column) -> Column:
-        return F.filter(F.sequence(F.lit(1), F.size(x["s"])), lambda i: ~F.get(x["s"], i - 1).eqNullSafe(F.get(x["s"], i - 2)))
 
-    def hashes(x: Column) -> Column:
-        def stretch(first: Column, k: Column) -> Column:
-            following = F.coalesce(F.get(x["f"], k + 1), F.size(x["s"]) + 1)
-            return _not_empty(F.xxhash64(F.slice(x["t"], first, following - first)))
+def _subsets(found: Column) -> Column:
+    """The hash of each subset's keys, which are one stretch of the sorted ones."""
+    places = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: ~_subset(F.get(found, i - 1)).eqNullSafe(_subset(F.get(found, i - 2))))
 
-        return F.map_from_arrays(F.transform(x["f"], lambda first: F.get(x["s"], first - 1)), F.transform(x["f"], stretch))
+    def hashes(first: Column) -> Column:
+        def stretch(at: Column, k: Column) -> Column:
+            following = F.coalesce(F.get(first, k + 1), F.size(found) + 1)
+            digest = F.xxhash64(F.slice(found, at, following - at)).bitwiseAND(F.lit((1 << SHIFT) - 1))
+            return F.shiftleft(_subset(F.get(found, at - 1)), SHIFT).bitwiseOR(digest)
 
-    def every(found: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda j: F.coalesce(F.try_element_at(found, j), F.lit(EMPTY).cast("long")))
+        return F.transform(first, stretch)
 
-    with_begins = lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t"), begins(x).alias("f"))
-    return _bound(_bound(_bound(parts, with_begins), hashes), every)
+    return _bound(begins, hashes)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    full = F.size(F.filter(pairs, lambda p: ~((p["a"] == EMPTY) & (p["b"] == EMPTY))))
-    same = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != EMPTY)))
-    return F.when(a == b, F.lit(1.0)).when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(same.cast("double") / full)
+    full = F.size(F.array_union(F.transform(a, _subset), F.transform(b, _subset)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / full)
 
 
 # -- the next document and the edited text ---------------------------------------------------

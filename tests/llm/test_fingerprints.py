@@ -79,24 +79,22 @@ def signed(x):
 
 def brute_print(text, lexicon):
     terms = {signed(chained(42, w)) for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if w}
-    subsets = [[] for _ in range(fp.SUBSETS)]
-    for t in sorted(terms & lexicon):
-        first = signed(chained(42, (t, 8), (9, 4))) % fp.SUBSETS
-        draw = signed(chained(42, (t, 8), (10, 4))) % (fp.TWICE * (fp.SUBSETS - 1))
-        subsets[first].append(t)
-        if draw < fp.SUBSETS - 1:
-            second = (first + 1 + draw) % fp.SUBSETS
-            assert first != second
-            subsets[second].append(t)
-    digest = lambda x: signed(chained(42, *((t, 8) for t in x))) or 1
-    return [digest(x) if x else fp.EMPTY for x in subsets] if terms & lexicon else [digest(sorted(terms))]
+    held = {}
+    for t in terms & lexicon:
+        held.setdefault(t >> fp.SHIFT, set()).add(t)
+        if t % fp.TWICE == 0:
+            other = (t >> fp.SHIFT) + 1 + (t >> 3) % (fp.SUBSETS - 1)
+            other = (other + fp.SUBSETS // 2) % fp.SUBSETS - fp.SUBSETS // 2
+            assert other != t >> fp.SHIFT
+            held.setdefault(other, set()).add(other * (1 << fp.SHIFT) + t % (1 << fp.SHIFT))
+    digest = lambda x: signed(chained(42, *((t, 8) for t in sorted(x))))
+    return [j * (1 << fp.SHIFT) + digest(held[j]) % (1 << fp.SHIFT) for j in sorted(held)] or [digest(terms)]
 
 
 def brute_likeness(a, b):
     if a == b:
         return 1.0
-    pairs = [(x, y) for x, y in zip(a, b, strict=True) if x or y] if len(a) == len(b) else []
-    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+    return len(set(a) & set(b)) / len({h >> fp.SHIFT for h in a} | {h >> fp.SHIFT for h in b})
 
 
 def test_lexicon_against_brute_force(spark):
@@ -115,7 +113,7 @@ def test_query_against_brute_force(spark):
     lexicon = {signed(chained(42, w)) for w, n in counts.items() if max(2.0, fp.LOW * len(rows)) <= n <= fp.HIGH * len(rows)}
     want = edits(rows)
     prints = {key: brute_print(t, lexicon) for key, t in rows}
-    used = {j for p in prints.values() if len(p) > 1 for j, h in enumerate(p) if h}
+    used = {h >> fp.SHIFT for p in prints.values() if len(p) > 1 for h in p}
     assert len(used) == fp.SUBSETS
     after = dict(zip((k for k, _ in sorted(rows, reverse=True)), (k for k, _ in sorted(rows, reverse=True)[1:] + sorted(rows, reverse=True)[:1]), strict=True))
     written = lambda p: ".".join(f"{h & (1 << 64) - 1:X}" for h in p)
